@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["shaping"]
+SECTIONS = ["shaping", "scans"]
 
 
 def load() -> None:
