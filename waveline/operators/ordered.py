@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from waveline.sources.store import stored
+
 BLOCK = "_block"
 ROWS_PER_BLOCK = 2_000_000
 MAX_BLOCKS = 20_000
@@ -144,47 +146,51 @@ class OrderedBlocks:
 
         ``directions`` maps a column to ``down`` (last known value) or ``up``
         (next known value). With ``entity`` values do not cross entities.
+
+        The rows are shuffled and filled within blocks once and written out;
+        the border rows, two per block, then come from a filtered read.
         """
         keys = [BLOCK] + ([entity] if entity else [])
         forward = self._in_block(*keys[1:])
         # An unbounded *following* frame is quadratic in Spark, so "up" is a
         # running frame over the reversed order.
-        backward = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_first() for c in self.order])
+        reverse = [F.col(c).desc_nulls_first() for c in self.order]
+        backward = Window.partitionBy(*keys).orderBy(*reverse)
         running = {
             "down": forward.rowsBetween(Window.unboundedPreceding, 0),
             "up": backward.rowsBetween(Window.unboundedPreceding, 0),
         }
         filled = {c: F.last(c, ignorenulls=True).over(running[d]) for c, d in directions.items()}
-        out = self.then(self.df.withColumns(filled))
         if self.blocks == 1:
-            return out
-
-        key = sort_key(self.order)
-        known = {}
-        for c, d in directions.items():
-            pick = F.max_by if d == "down" else F.min_by
-            known[c] = pick(c, F.when(F.col(c).isNotNull(), key))
-        edges = self.df.groupBy(*keys).agg(*[v.alias(c) for c, v in known.items()])
-        blocks = Window.partitionBy(entity) if entity else Window
-        earlier = blocks.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        later = blocks.orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
-        carried = {c: f"_carry_{c}" for c in directions}
-        carry = edges.select(
-            *keys,
-            *[
-                F.last(c, ignorenulls=True).over(earlier if d == "down" else later).alias(carried[c])
-                for c, d in directions.items()
-            ],
+            return self.then(self.df.withColumns(filled))
+        in_block = self._in_block()
+        filled["_top"] = F.lag(F.lit(True), 1, False).over(in_block) == F.lit(False)
+        filled["_bottom"] = F.lead(F.lit(True), 1, False).over(in_block) == F.lit(False)
+        rows = stored(self.df.withColumns(filled))
+
+        out = rows
+        for direction, border in (("down", "_bottom"), ("up", "_top")):
+            columns = [c for c, d in directions.items() if d == direction]
+            if columns:
+                carry = self._carried(rows.where(border), columns, direction, entity)
+                out = out.join(F.broadcast(carry), keys, "left")
+                out = out.withColumns({c: F.coalesce(c, f"_carry_{c}") for c in columns})
+                out = out.drop(*[f"_carry_{c}" for c in columns])
+        return self.then(out.drop("_top", "_bottom"))
+
+    @staticmethod
+    def _carried(edges: DataFrame, columns: Sequence[str], direction: str, entity: str | None) -> DataFrame:
+        """What each block receives from the blocks before (or after) it."""
+        step = F.col(BLOCK).asc() if direction == "down" else F.col(BLOCK).desc()
+        blocks = Window.orderBy(step)
+        so_far = (Window.partitionBy(entity) if entity else Window).orderBy(step)
+        so_far = so_far.rowsBetween(Window.unboundedPreceding, 0)
+        # One border row per block.
+        return edges.select(
+            F.lead(BLOCK).over(blocks).alias(BLOCK),
+            *([entity] if entity else []),
+            *[F.last(c, ignorenulls=True).over(so_far).alias(f"_carry_{c}") for c in columns],
         )
-        if entity:
-            # Only an entity that spans blocks has anything to carry: at most
-            # the first and the last entity of each block are left.
-            carry = carry.where(F.greatest(*[F.col(c).isNotNull() for c in carried.values()])).where(
-                F.col(entity).isNotNull()
-            )
-        joined = out._with_carry(carry, keys)
-        joined = joined.withColumns({c: F.coalesce(c, k) for c, k in carried.items()})
-        return self.then(joined.drop(*carried.values()))
 
     def ordinal(self, name: str, entity: str | None = None, start: int = 0) -> OrderedBlocks:
         """Number the rows of the table, or of each entity, in sort order."""
