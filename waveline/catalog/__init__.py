@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["shaping", "scans"]
+SECTIONS = ["shaping", "scans", "tables"]
 
 
 def load() -> None:

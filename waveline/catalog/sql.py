@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waveline.sources.panel_csv import G_ITEMS, ITEMS, N_ITEMS, P_ITEMS
+from waveline.sources.panel_csv import ITEMS, N_ITEMS, P_ITEMS
 
 ITEM_LIST = ", ".join(ITEMS)
 
@@ -53,13 +53,28 @@ weekly as (
          cast(row_number() over (partition by PatientID order by Week) - 1 as int) as TreatmentWeek
   from collapsed)"""
 
-TREATMENT = WEEKLY + """,
+def half_even(x: str, digits: int = 2) -> str:
+    """The nearer decimal in double arithmetic, ties to the even digit."""
+    scale = f"cast({10**digits} as double)"
+    whole = f"floor(abs({x}) * {scale})"
+    below, above = f"({whole} / {scale})", f"(ceil(abs({x}) * {scale}) / {scale})"
+    to_below, to_above = f"(abs({x}) - {below})", f"({above} - abs({x}))"
+    nearest = (
+        f"(case when {to_above} < {to_below} or ({to_above} = {to_below} and {whole} % 2 = 1)"
+        f" then {above} else {below} end)"
+    )
+    return f"(case when {x} < 0 then cast(0 as double) - {nearest} when {x} >= 0 then {nearest} end)"
+
+
+CHANGE = half_even("((PANSS_Total - BaselinePANSS) / BaselinePANSS)")
+
+TREATMENT = WEEKLY + f""",
 base as (select PatientID, PANSS_Total as BaselinePANSS from weekly where VisitDay = 0),
 changed as (
   select w.*, b.BaselinePANSS,
          case when PANSS_Total < 75 then 'Mild' when PANSS_Total < 95 then 'Moderate'
               when PANSS_Total < 116 then 'Marked' else 'Severe' end as CGI,
-         round_even((PANSS_Total - BaselinePANSS) / BaselinePANSS, 2) as PctChange
+         {CHANGE} as PctChange
   from weekly w left join base b on w.PatientID = b.PatientID
   where TreatmentWeek <= 2 or TreatmentWeek = 4 or TreatmentWeek = 6),
 data as (
@@ -103,8 +118,6 @@ profiles as (
 ORDER = "order by PatientID, VisitDay, Study, Country, SiteID, RaterID, AssessmentID"
 ENTITY = f"partition by PatientID {ORDER}"
 
-__all__ = ["ENTITY", "G_ITEMS", "ITEM_LIST", "ITEMS", "LEVELS", "N_ITEMS", "ORDER", "P_ITEMS", "PANEL", "PROFILES", "TREATMENT", "VISITS", "WEEKLY"]
-
 
 def with_(tables: str, select: str) -> str:
     return f"with {tables.strip()}\n{select.strip()}"

@@ -24,9 +24,25 @@ def composite(negative: Sequence[str], positive: Sequence[str]) -> Column:
     return row_sum(negative) - row_sum(positive)
 
 
+def round_half_even(value: Column | str, digits: int) -> Column:
+    """Round to the nearer decimal, to the even digit if both are as near.
+
+    Distances are taken between doubles. ``bround`` would round the shortest
+    decimal text of the number, which decides some ties differently.
+    """
+    x, scale = _col(value), float(10**digits)
+    size = F.abs(x)
+    whole = F.floor(size * scale)
+    below, above = whole / scale, F.ceil(size * scale) / scale
+    to_below, to_above = size - below, above - size
+    up = (to_above < to_below) | ((to_above == to_below) & (whole % 2 == 1))
+    nearest = F.when(up, above).otherwise(below)
+    return F.when(x < 0, 0.0 - nearest).when(x >= 0, nearest)
+
+
 def relative_change(value: Column | str, base: Column | str, digits: int = 2) -> Column:
-    """Change from a base as a share of it, rounded half to even."""
-    return F.bround(F.try_divide(_col(value) - _col(base), _col(base)), digits)
+    """Change from a base as a rounded share of it; null for a base of zero."""
+    return round_half_even(F.try_divide(_col(value) - _col(base), _col(base)), digits)
 
 
 def change_flag(change: Column | str, limit: int = 2) -> Column:
