@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["shaping", "scans", "tables"]
+SECTIONS = ["shaping", "scans", "tables", "clusters"]
 
 
 def load() -> None:

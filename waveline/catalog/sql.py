@@ -120,4 +120,6 @@ ENTITY = f"partition by PatientID {ORDER}"
 
 
 def with_(tables: str, select: str) -> str:
-    return f"with {tables.strip()}\n{select.strip()}"
+    tail = select.strip()
+    # A tail that starts with a comma defines more tables first.
+    return f"with {tables.strip()}{tail}" if tail.startswith(",") else f"with {tables.strip()}\n{tail}"
