@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["shaping", "scans", "tables", "clusters"]
+SECTIONS = ["shaping", "scans", "tables", "clusters", "models"]
 
 
 def load() -> None:

@@ -121,7 +121,7 @@ def assign(spark, sf_dir):
 
 @query(
     "m3_inertia_given_centres",
-    with_(ASSIGNED, "select cluster, count(*) as n, round(sum(square), 6) as withinss from assigned group by cluster"),
+    with_(ASSIGNED, "select cluster, count(*) as n, round(cast(sum(square) as double), 6) as withinss from assigned group by cluster"),
 )
 def given_inertia(spark, sf_dir):
     return rounded(inertia(assigned(spark, sf_dir), PROFILE, CENTRES, "cluster"), "withinss")

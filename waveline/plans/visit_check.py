@@ -5,8 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waveline.functions.scores import change_flag, composite, many_flags, rising, row_spread, two_way
+from waveline.functions.columns import uniform
+from waveline.functions.scores import (
+    change_flag,
+    composite,
+    many_flags,
+    rising,
+    row_spread,
+    threshold_class,
+    two_way,
+)
+from waveline.operators import logistic
+from waveline.operators.design import Design, crossed, factor_levels, numeric_shift
 from waveline.operators.ordered import OrderedBlocks
+from waveline.operators.split import split_rows
 from waveline.sources.panel_csv import ITEMS, N_ITEMS, P_ITEMS, VISIT_ORDER
 
 # Limits of the flags.
@@ -80,3 +92,86 @@ def check_features(panel: DataFrame, scope: str = "table", spread: str = "table"
     df = with_flags(with_neighbour_scores(blocks, scope).frame(), spread)
     label = two_way("LeadStatus", "Passed", "P", "NP")
     return df.withColumn("LeadStatus", label).drop("SiteID", "RaterID")
+
+
+# Items of the interaction, flags of the model, and the cut.
+CROSSED_ITEMS = ["P1", "P3", "P5", "G5", "LagP1", "LagP3", "LagP5", "LagG5"]
+MODEL_FLAGS = [
+    "FlagInconsistentComposite",
+    "FlagDelusion",
+    "FlagHallucination",
+    "FlagGrandiosity",
+    "FlagMannerisms",
+    "FlagUnusualOutcome",
+    "FlagInconsistentMeasure",
+]
+CHANGE_FLAG_ITEMS = [*P_ITEMS, *N_ITEMS]
+PASS_CUT = 0.8
+TEST_SHARE = 0.5
+LABEL_STUDIES = "Study <> 'E'"
+TARGET_STUDY = "Study = 'E'"
+
+
+def check_terms() -> list:
+    flags = [f"FlagChange{c}" for c in CHANGE_FLAG_ITEMS]
+    return [*crossed("TxGroup", "TreatmentWeek"), *crossed(*CROSSED_ITEMS), *MODEL_FLAGS, *flags]
+
+
+def check_design(rows: DataFrame) -> Design:
+    """Design of the pass model, with centred items (see ``Design.shift``)."""
+    return Design.of(
+        check_terms(),
+        levels=factor_levels(rows, ["TxGroup"]),
+        shift=numeric_shift(rows, ["TreatmentWeek", *CROSSED_ITEMS]),
+    )
+
+
+def labelled_rows(checks: DataFrame) -> DataFrame:
+    """Assessments of the labelled studies with a 0/1 response."""
+    return checks.where(LABEL_STUDIES).withColumn("passed", (F.col("LeadStatus") == "P").cast("int"))
+
+
+def accuracy(scored: DataFrame, predicted: str, actual: str) -> DataFrame:
+    return scored.agg(F.avg((F.col(predicted) == F.col(actual)).cast("double")).alias("accuracy"))
+
+
+def accuracies(checks: DataFrame, seed: int = 2) -> DataFrame:
+    """Share of right classes on train and test rows, and of a random draw.
+
+    The fit reads the stored feature table once per step. The random class
+    is drawn per row of the train part.
+    """
+    rows = labelled_rows(checks)
+    test, train = split_rows(rows, "AssessmentID", TEST_SHARE, seed)
+    model = logistic.fit(train, check_design(rows), "passed")
+    keep = ["AssessmentID", "LeadStatus"]
+    out = None
+    for name, part in (("train", train), ("test", test)):
+        scored = logistic.predict(part, model, keep)
+        scored = scored.withColumn("class", threshold_class("probability", PASS_CUT))
+        row = accuracy(scored, "class", "LeadStatus").select(F.lit(name).alias("part"), "accuracy")
+        out = row if out is None else out.unionByName(row)
+    draw = random_classes(train, "AssessmentID", seed + 1)
+    return out.unionByName(accuracy(draw, "class", "LeadStatus").select(F.lit("random").alias("part"), "accuracy"))
+
+
+def random_classes(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """A class per row from a uniform draw, as a baseline."""
+    return rows.withColumn("class", threshold_class(uniform(F.col(key), seed), PASS_CUT))
+
+
+def pass_probabilities(checks: DataFrame) -> DataFrame:
+    """Pass probability of each assessment of the target study.
+
+    The model is fitted to all labelled rows.
+    """
+    rows = labelled_rows(checks)
+    model = logistic.fit(rows, check_design(rows), "passed")
+    scored = logistic.predict(checks.where(TARGET_STUDY), model, ["AssessmentID"])
+    return scored.withColumnRenamed("probability", "LeadStatus")
+
+
+def given_probability(intercept: float, weights: dict[str, float]) -> Column:
+    """Probability from known coefficients, without leaving the JVM."""
+    eta = sum((F.col(c) * w for c, w in weights.items()), F.lit(intercept))
+    return 1.0 / (1.0 + F.exp(-eta))
