@@ -36,6 +36,15 @@ from waveline.sources.store import stored
 ALL_ROWS = -1
 LAMBDAS_PER_PASS = 10
 MAX_NEWTON = 40
+PATIENCE = 10
+MAX_ROUNDS = 200
+SWEEPS_PER_ROUND = 4
+# In units of the standard deviation of the response.
+KKT_TOLERANCE = 1e-7
+SMALLEST_PIVOT = 1e-9
+# A fit ends when a step gains less than this share of the null objective.
+OBJECTIVE_TOLERANCE = 1e-7
+NEWTON_TOLERANCE = 1e-5
 
 
 def rmse(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
@@ -106,7 +115,10 @@ def entity_moments(
         F.flatten("parts.sums").alias("sums"),
         F.coalesce(F.col("entity") == F.lit(base), F.lit(False)).alias("is_base"),
     )
-    return EntityMoments(design, entity, base, folds, products, stored(table))
+    # The steps are bound by arithmetic and not by bytes, so the table keeps
+    # one file per shuffle partition.
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return EntityMoments(design, entity, base, folds, products, stored(table.repartition(partitions, "entity")))
 
 
 def _unpack(pdf: pd.DataFrame, folds: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,6 +140,7 @@ class Problem:
     theta: np.ndarray
     objective: float = math.inf
     previous: np.ndarray | None = None
+    slope: float = 0.0
     train_rss: float = math.nan
     test_rss: float = math.nan
     done: bool = False
@@ -180,27 +193,60 @@ def _pass(m: EntityMoments, problems: Sequence[Problem], rows: dict[int, float],
     return collect_matrices(summed_matrices(m.sums.select("folds", "sums", "is_base"), blocks))
 
 
+def _settle(h: np.ndarray, c: np.ndarray, u: np.ndarray, l1: float, l2: float) -> tuple[np.ndarray, bool]:
+    """Solve one problem exactly on the columns in use.
+
+    Where a coefficient would change its sign it is stopped at zero. The flag
+    tells whether no other column wants to enter.
+    """
+    u = u.copy()
+    while u.any():
+        used = np.flatnonzero(u)
+        signs = np.sign(u[used])
+        block = h[np.ix_(used, used)] + (l2 + 1e-12) * np.eye(len(used))
+        target = np.linalg.solve(block, c[used] - l1 * signs)
+        crossing = np.flatnonzero(np.sign(target) != signs)
+        if len(crossing) == 0:
+            u[used] = target
+            break
+        reach = u[used][crossing] / (u[used][crossing] - target[crossing])
+        first = int(np.argmin(reach))
+        u[used] += reach[first] * (target - u[used])
+        u[used[crossing[first]]] = 0.0
+    pull = np.abs(c - h @ u)[(u == 0) & (np.diag(h) > SMALLEST_PIVOT)]
+    return u, bool(np.max(pull, initial=0.0) <= l1 + KKT_TOLERANCE)
+
+
 def _descend(h: np.ndarray, c: np.ndarray, u: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
     """Coordinate descent on many small problems side by side.
 
-    Minimises u'Hu/2 - c'u + l1 |u| + l2 u^2/2 per problem.
+    Minimises u'Hu/2 - c'u + l1 |u| + l2 u^2/2 per problem. A few sweeps find
+    the columns in use; the exact solution on those ends the search.
     """
     u = u.copy()
-    gradient = c - np.einsum("mij,mj->mi", h, u)
     diagonal = np.einsum("mii->mi", h)
-    usable = diagonal > 1e-9
-    for _ in range(5_000):
-        moved = 0.0
-        for j in range(u.shape[1]):
-            pull = gradient[:, j] + diagonal[:, j] * u[:, j]
-            new = np.sign(pull) * np.maximum(np.abs(pull) - l1, 0.0) / np.where(usable[:, j], diagonal[:, j] + l2, 1.0)
-            step = np.where(usable[:, j], new - u[:, j], 0.0)
-            if step.any():
-                gradient -= h[:, j, :] * step[:, None]
-                u[:, j] += step
-                moved = max(moved, float(np.max(diagonal[:, j] * step**2)))
-        if moved < 1e-14:
+    usable = diagonal > SMALLEST_PIVOT
+    open_ = np.arange(len(u))
+    for _ in range(MAX_ROUNDS):
+        ho, uo, lo, ridge = h[open_], u[open_], l1[open_], l2[open_]
+        gradient = c[open_] - np.einsum("mij,mj->mi", ho, uo)
+        for _ in range(SWEEPS_PER_ROUND):
+            for j in range(u.shape[1]):
+                size, ok = diagonal[open_, j], usable[open_, j]
+                pull = gradient[:, j] + size * uo[:, j]
+                new = np.sign(pull) * np.maximum(np.abs(pull) - lo, 0.0) / np.where(ok, size + ridge, 1.0)
+                step = np.where(ok, new - uo[:, j], 0.0)
+                if step.any():
+                    gradient -= ho[:, j, :] * step[:, None]
+                    uo[:, j] += step
+        left = []
+        for i, at in enumerate(open_):
+            u[at], settled = _settle(h[at], c[at], uo[i], l1[at], l2[at])
+            if not settled:
+                left.append(at)
+        if not left:
             break
+        open_ = np.array(left)
     return u
 
 
@@ -229,9 +275,15 @@ def _step(m: EntityMoments, problems: list[Problem], sums: dict[str, np.ndarray]
             own = m.products[p.left_out]
             held = own[-1, -1] - 2 * theta @ own[:-1, -1] + theta @ own[:-1, :-1] @ theta
             p.test_rss = float(held - 2 * taken[-1, 3] + taken[-1, 4])
-        if value > p.objective * (1 + 1e-12) + 1e-9 and p.previous is not None:
-            # Too long a step: go back halfway.
-            p.theta = (p.theta + p.previous) / 2
+        gain, least = p.objective - value, OBJECTIVE_TOLERANCE * n * variance_y[i] / 2
+        if p.previous is not None and gain < -least:
+            # Too long a step: go back to the best point of a parabola.
+            back = min(0.5, max(0.01, p.slope / (2 * (p.slope - gain))))
+            p.theta, p.slope = p.previous + back * (theta - p.previous), p.slope * back
+            keeps.append(None)
+            continue
+        if p.previous is not None and gain < least:
+            p.done = True
             keeps.append(None)
             continue
         p.objective, p.previous = value, theta
@@ -248,7 +300,7 @@ def _step(m: EntityMoments, problems: list[Problem], sums: dict[str, np.ndarray]
         hs.append(inner)
         cs.append(np.where(s[1:] > 0, (c[1:] - h[1:, 0] * pull / level) / scale / n, 0.0))
         us.append(theta[1:] * scale)
-        keeps.append((h, level, pull, scale, len(hs) - 1))
+        keeps.append((h, c, s, level, pull, scale, len(hs) - 1))
     if not hs:
         return
     chosen = [p for p, k in zip(problems, keeps) if k is not None]
@@ -261,14 +313,19 @@ def _step(m: EntityMoments, problems: list[Problem], sums: dict[str, np.ndarray]
     for i, (p, k) in enumerate(zip(problems, keeps)):
         if k is None:
             continue
-        h, level, pull, scale, at = k
+        h, c, s, level, pull, scale, at = k
         slope = solved[at] / scale
         theta = np.concatenate([[(pull - h[0, 1:] @ slope) / level], slope])
         move = max(abs(theta[0] - p.theta[0]), float(np.max(np.abs((theta - p.theta)[1:] * scale), initial=0.0)))
-        if move < 1e-7 * math.sqrt(variance_y[i]):
+        if move < NEWTON_TOLERANCE * math.sqrt(variance_y[i]):
             p.done = True
         else:
-            p.theta = theta
+            n = m.training(p.left_out)[0, 0]
+            model = [
+                t @ h @ t / 2 - c @ t + n * p.penalty * np.sum(alpha * s * np.abs(t) + (1 - alpha) / 2 * (s * t) ** 2)
+                for t in (p.theta, theta)
+            ]
+            p.theta, p.slope = theta, 2 * max(model[0] - model[1], 1e-12 * n * variance_y[i])
 
 
 def solve(m: EntityMoments, problems: list[Problem], alpha: float = 1.0) -> list[Problem]:
@@ -323,6 +380,7 @@ class PathPoint:
     theta: np.ndarray
     explained: float
     cv_mse: float | None
+    settled: bool
 
 
 def path(
@@ -331,7 +389,8 @@ def path(
     """Fits along decreasing penalties, with the error on left-out folds.
 
     All folds and ``LAMBDAS_PER_PASS`` penalties share every pass. With
-    ``stop_early`` the path ends once a smaller penalty explains no more.
+    ``stop_early`` the path ends once a smaller penalty explains no more, or
+    the error on left-out folds has not improved for ``PATIENCE`` penalties.
     """
     left_out = [ALL_ROWS, *sorted(m.products)] if cross_validate else [ALL_ROWS]
     everything = m.training(ALL_ROWS)
@@ -350,9 +409,13 @@ def path(
             error = sum(p.test_rss for f, p in fits.items() if f != ALL_ROWS) / n if cross_validate else None
             explained = 1 - fits[ALL_ROWS].train_rss / variance
             gain = explained - out[-1].explained if out else math.inf
-            out.append(PathPoint(penalty, theta[ALL_ROWS], explained, error))
+            out.append(PathPoint(penalty, theta[ALL_ROWS], explained, error, all(p.done for p in fits.values())))
             if stop_early and len(out) >= 5 and (explained > 0.999 or gain < 1e-5 * explained):
                 return out
+        if cross_validate and stop_early:
+            best = min(range(len(out)), key=lambda i: out[i].cv_mse)
+            if len(out) - 1 - best >= PATIENCE:
+                break
     return out
 
 

@@ -53,10 +53,14 @@ def summed_matrices(df: DataFrame, blocks: Blocks) -> DataFrame:
 
 
 def collect_matrices(sums: DataFrame) -> dict[str, np.ndarray]:
-    out: dict[str, dict[int, list[float]]] = {}
-    for r in sums.collect():
-        out.setdefault(r.group, {})[r.i] = r.row
-    return {g: np.array([rows[i] for i in sorted(rows)]) for g, rows in out.items()}
+    """The matrices per group on the driver; they are small by construction."""
+    table = sums.toArrow().combine_chunks()
+    if table.num_rows == 0:
+        return {}
+    groups = np.array(table["group"].to_pylist())
+    rows = table["row"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+    order = np.argsort(table["i"].to_numpy(), kind="stable")
+    return {str(g): rows[order[groups[order] == g]] for g in np.unique(groups)}
 
 
 def cross_products(df: DataFrame, design: Design, response: str, by: str | None = None) -> DataFrame:

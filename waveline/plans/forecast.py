@@ -107,8 +107,8 @@ def fit_forecast(features: DataFrame, alpha: float = 1.0, count: int = 100) -> F
 
 def path_table(features: DataFrame, model: ForecastModel) -> DataFrame:
     """Penalty, share of variance explained and cross-validated error."""
-    rows = [(i, p.penalty, float(p.explained), float(p.cv_mse)) for i, p in enumerate(model.points)]
-    return features.sparkSession.createDataFrame(rows, "step int, penalty double, explained double, cv_mse double")
+    rows = [(i, p.penalty, float(p.explained), float(p.cv_mse), p.settled) for i, p in enumerate(model.points)]
+    return features.sparkSession.createDataFrame(rows, "step int, penalty double, explained double, cv_mse double, settled boolean")
 
 
 def predicted(rows: DataFrame, model: ForecastModel, keep: Sequence[str], name: str = "predicted") -> DataFrame:
