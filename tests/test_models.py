@@ -101,6 +101,27 @@ def test_missing_predictor_gives_null_probability(spark):
     assert out[5] is None and all(0 < out[k] < 1 for k in (1, 2, 3, 4)) and fit.rows == 4
 
 
+@pytest.mark.parametrize("alpha", [1.0, 0.0])
+def test_penalised_logistic_meets_its_conditions(spark, alpha):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, [1, 2, 1, 3], (400, 4))
+    pdf = pd.DataFrame(x, columns=list("abcd"))
+    pdf["y"] = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] - 0.5 * x[:, 1])))).astype(int)
+    pdf["fold"] = rng.integers(0, 4, 400).astype("int32")
+    penalties = [0.1, 0.02]
+    found = logistic.penalised_path(spark.createDataFrame(pdf), Design.of(list("abcd")), "y", penalties, alpha, "fold", tolerance=1e-7)
+    for penalty, beta in zip(penalties, found.betas):
+        pull = x.T @ (pdf.y - 1 / (1 + np.exp(-beta[0] - x @ beta[1:]))) / 400
+        s = x.std(axis=0)
+        if alpha == 0:
+            assert np.allclose(pull, penalty * s**2 * beta[1:], atol=1e-5)
+        else:
+            used = beta[1:] != 0
+            assert np.allclose(pull[used], penalty * s[used] * np.sign(beta[1:][used]), atol=1e-5)
+            assert np.all(np.abs(pull) <= penalty * s + 1e-5)
+    assert found.log_loss[1] < found.log_loss[0] < math.log(2)
+
+
 def lasso_frame(seed=4, n=240, patients=18):
     rng = np.random.default_rng(seed)
     pdf = pd.DataFrame({"a": np.arange(n), "p": rng.integers(0, patients, n).astype("int64")})

@@ -40,6 +40,8 @@ from waveline.plans.visit_check import (
     given_probability,
     labelled_rows,
     pass_probabilities,
+    penalised_check,
+    penalised_probabilities,
     random_classes,
 )
 from waveline.functions.scores import threshold_class
@@ -287,3 +289,19 @@ def ridge_path(spark, sf_dir):
 @query("m21_ridge_rmse")
 def ridge_rmse(spark, sf_dir):
     return holdout_rmse(features(spark, sf_dir), forecast_model(spark, sf_dir, 0.0))
+
+
+PENALTIES = [0.1, 0.03, 0.01, 0.003, 0.001]
+
+
+@query("m22_lasso_logistic")
+def lasso_logistic(spark, sf_dir):
+    found = penalised_check(checks(spark, sf_dir), 1.0, PENALTIES)
+    rows = [(p, float(v), int((b[1:] != 0).sum())) for p, v, b in zip(found.penalties, found.log_loss, found.betas)]
+    return spark.createDataFrame(rows, "penalty double, log_loss double, terms int")
+
+
+@query("m22_ridge_logistic")
+def ridge_logistic(spark, sf_dir):
+    rows = checks(spark, sf_dir)
+    return penalised_probabilities(rows.where("Study = 'E'"), penalised_check(rows, 0.0, PENALTIES))

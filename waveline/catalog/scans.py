@@ -342,3 +342,14 @@ def split_70(spark, sf_dir):
 @query("f20_uniform", with_(PANEL, f"select AssessmentID, round({_DRAW}, 9) as draw from panel"))
 def uniform_draw(spark, sf_dir):
     return panel(spark, sf_dir).select("AssessmentID", F.round(uniform(F.col("AssessmentID")), 9).alias("draw"))
+
+
+@query(
+    "t4_sort_predictions",
+    with_(PANEL, f"""select PatientID, AssessmentID, round({_DRAW}, 9) as predicted from panel
+        where Study = 'E' order by PatientID, AssessmentID"""),
+)
+def sort_predictions(spark, sf_dir):
+    rows = panel(spark, sf_dir).where("Study = 'E'")
+    scored = rows.select("PatientID", "AssessmentID", F.round(uniform(F.col("AssessmentID")), 9).alias("predicted"))
+    return scored.orderBy("PatientID", "AssessmentID")

@@ -217,7 +217,7 @@ def _settle(h: np.ndarray, c: np.ndarray, u: np.ndarray, l1: float, l2: float) -
     return u, bool(np.max(pull, initial=0.0) <= l1 + KKT_TOLERANCE)
 
 
-def _descend(h: np.ndarray, c: np.ndarray, u: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
+def descend(h: np.ndarray, c: np.ndarray, u: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
     """Coordinate descent on many small problems side by side.
 
     Minimises u'Hu/2 - c'u + l1 |u| + l2 u^2/2 per problem. A few sweeps find
@@ -307,7 +307,7 @@ def _step(m: EntityMoments, problems: list[Problem], sums: dict[str, np.ndarray]
     penalties = np.array([p.penalty for p in chosen])
     # Work in units of the response, so that tolerances mean the same.
     unit = np.sqrt(np.array([max(variance_y[i], 1e-300) for i, k in enumerate(keeps) if k is not None]))
-    solved = _descend(
+    solved = descend(
         np.array(hs), np.array(cs) / unit[:, None], np.array(us) / unit[:, None], penalties * alpha / unit, penalties * (1 - alpha)
     ) * unit[:, None]
     for i, (p, k) in enumerate(zip(problems, keeps)):

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from waveline.operators.design import Design
-from waveline.operators.moments import collect_matrices, summed_matrices
+from waveline.operators.lasso import descend
+from waveline.operators.moments import collect_matrices, cross_products, summed_matrices
 from waveline.operators.ols import independent_columns
 
 
@@ -102,3 +103,108 @@ def predict(df: DataFrame, fit: LogisticFit, keep: Sequence[str], name: str = "p
             yield pdf[list(keep)].assign(**{name: p})
 
     return df.select(columns).mapInPandas(score, schema)
+
+
+ALL_ROWS = -1
+
+
+@dataclass(frozen=True)
+class PenalisedPath:
+    """Log loss on left-out folds and coefficients per penalty."""
+
+    design: Design
+    penalties: list[float]
+    log_loss: list[float]
+    betas: list[np.ndarray]
+    steps: int
+    rows: int
+
+    def best_fit(self) -> LogisticFit:
+        at = int(np.argmin(self.log_loss))
+        kept = list(range(len(self.betas[at])))
+        return LogisticFit(self.design, kept, self.betas[at], float("nan"), self.steps, True, self.rows)
+
+
+def _penalised_sums(design: Design, response: str, fold: str, todo: list[tuple[str, int, np.ndarray]]):
+    """Per problem: X'WX, X'Wz on the training rows and the loss on the others."""
+
+    def blocks(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        pdf = design.complete(pdf, response, fold)
+        x, y, folds = design.matrix(pdf), pdf[response].to_numpy(dtype=float), pdf[fold].to_numpy()
+        eta = x @ np.array([beta for _, _, beta in todo]).T
+        out = {}
+        for at, (name, left_out, _) in enumerate(todo):
+            mu = _probability(eta[:, at])
+            held = folds == left_out
+            w = np.where(held, 0.0, np.maximum(mu * (1 - mu), 1e-6))
+            xw = x * w[:, None]
+            right = xw.T @ eta[:, at] + x.T @ np.where(held, 0.0, y - mu)
+            loss = -np.log(np.maximum(np.where(y > 0.5, mu, 1 - mu), 1e-300))
+            tail = np.zeros((1, x.shape[1] + 1))
+            tail[0, 0] = loss[held].sum()
+            out[name] = np.vstack([np.column_stack([x.T @ xw, right]), tail])
+        return out
+
+    return blocks
+
+
+def penalised_path(
+    df: DataFrame,
+    design: Design,
+    response: str,
+    penalties: Sequence[float],
+    alpha: float,
+    fold: str,
+    max_steps: int = 30,
+    tolerance: float = 1e-4,
+) -> PenalisedPath:
+    """Elastic-net logistic fits for all penalties and left-out folds at once.
+
+    The objective is the mean log loss plus the penalty of the lasso module.
+    Every Newton step of every fit shares one pass over the (stored) rows.
+    """
+    rows = df.select(list(dict.fromkeys([*design.columns, response, fold])))
+    products = {int(k): v for k, v in collect_matrices(cross_products(rows, design, response, fold)).items()}
+    total = sum(products.values())
+    left_out = [ALL_ROWS, *sorted(products)]
+    training = {f: total - products[f] if f != ALL_ROWS else total for f in left_out}
+    spread = {}
+    for f, p in training.items():
+        variance = np.diag(p)[1:-1] / p[0, 0] - (p[0, 1:-1] / p[0, 0]) ** 2
+        spread[f] = np.sqrt(np.where(variance > 1e-10, variance, 0.0))
+    beta = {}
+    for f in left_out:
+        share = training[f][0, -1] / training[f][0, 0]
+        for k in range(len(penalties)):
+            beta[f, k] = np.zeros(len(total) - 1)
+            beta[f, k][0] = np.log(share / (1 - share))
+    loss, open_, steps = {}, list(beta), 0
+    for steps in range(1, max_steps + 1):
+        todo = [(str(i), f, beta[f, k]) for i, (f, k) in enumerate(open_)]
+        sums = collect_matrices(summed_matrices(rows, _penalised_sums(design, response, fold, todo)))
+        hs, cs, us, levels = [], [], [], []
+        for i, (f, k) in enumerate(open_):
+            m, n, s = sums[str(i)], training[f][0, 0], spread[f]
+            loss[f, k] = float(m[-1, 0])
+            h, c = m[:-1, :-1], m[:-1, -1]
+            used, scale = s > 0, np.where(s > 0, s, 1.0)
+            inner = (h[1:, 1:] - np.outer(h[1:, 0], h[0, 1:]) / h[0, 0]) / np.outer(scale, scale) / n
+            hs.append(np.where(np.outer(used, used), inner, 0.0))
+            cs.append(np.where(used, (c[1:] - h[1:, 0] * c[0] / h[0, 0]) / scale / n, 0.0))
+            us.append(beta[f, k][1:] * scale)
+            levels.append((h[0], c[0], scale))
+        size = np.array([penalties[k] for _, k in open_])
+        solved = descend(np.array(hs), np.array(cs), np.array(us), size * alpha, size * (1 - alpha))
+        moving = []
+        for u, old, (first, pull, scale), key in zip(solved, us, levels, open_):
+            slope = u / scale
+            new = np.concatenate([[(pull - first[1:] @ slope) / first[0]], slope])
+            if max(float(np.max(np.abs(u - old), initial=0.0)), abs(new[0] - beta[key][0])) > tolerance:
+                beta[key] = new
+                moving.append(key)
+        open_ = moving
+        if not open_:
+            break
+    n = float(total[0, 0])
+    losses = [sum(loss[f, k] for f in left_out if f != ALL_ROWS) / n for k in range(len(penalties))]
+    return PenalisedPath(design, list(penalties), losses, [beta[ALL_ROWS, k] for k in range(len(penalties))], steps, int(round(n)))

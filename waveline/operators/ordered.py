@@ -23,7 +23,7 @@ from waveline.sources.store import stored
 
 BLOCK = "_block"
 ROWS_PER_BLOCK = 2_000_000
-MAX_BLOCKS = 20_000
+MAX_BLOCKS = 50_000
 SAMPLE_PER_BLOCK = 30
 
 

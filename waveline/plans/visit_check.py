@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ from waveline.functions.scores import (
 )
 from waveline.operators import logistic
 from waveline.operators.design import Design, crossed, factor_levels, numeric_shift
+from waveline.operators.logistic import PenalisedPath
 from waveline.operators.ordered import OrderedBlocks
-from waveline.operators.split import split_rows
+from waveline.operators.split import fold_of, split_rows
 from waveline.sources.panel_csv import ITEMS, N_ITEMS, P_ITEMS, VISIT_ORDER
 
 # Limits of the flags.
@@ -175,3 +178,23 @@ def given_probability(intercept: float, weights: dict[str, float]) -> Column:
     """Probability from known coefficients, without leaving the JVM."""
     eta = sum((F.col(c) * w for c, w in weights.items()), F.lit(intercept))
     return 1.0 / (1.0 + F.exp(-eta))
+
+
+# Folds of the penalised fits.
+PENALTY_FOLDS = 10
+
+
+def penalised_check(checks: DataFrame, alpha: float, penalties: Sequence[float], seed: int = 2) -> PenalisedPath:
+    """Cross-validated logistic regression with an L1 (1) or L2 (0) penalty.
+
+    Folds come from the row key, so a repeated run sees the same folds.
+    """
+    rows = labelled_rows(checks)
+    train = split_rows(rows, "AssessmentID", TEST_SHARE, seed)[1]
+    train = train.withColumn("_fold", fold_of("AssessmentID", PENALTY_FOLDS, seed + 4))
+    return logistic.penalised_path(train, check_design(rows), "passed", penalties, alpha, "_fold")
+
+
+def penalised_probabilities(rows: DataFrame, path: PenalisedPath) -> DataFrame:
+    """Pass probability of each assessment under the best penalised model."""
+    return logistic.predict(rows, path.best_fit(), ["AssessmentID"])
