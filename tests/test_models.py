@@ -214,8 +214,18 @@ def test_kmeans_finds_the_blobs(blobs):
         fit_runs(points, columns, [100], 1, 5)
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    """Shuffle partitions stay apart, as they do when they are large."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
 @pytest.mark.parametrize("block", [4, 2048])
-def test_silhouette_equals_brute_force(blobs, monkeypatch, block):
+def test_silhouette_equals_brute_force(blobs, monkeypatch, uncoalesced, block):
     import waveline.operators.silhouette as module
 
     monkeypatch.setattr(module, "POINTS_PER_BLOCK", block)

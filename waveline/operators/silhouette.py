@@ -49,7 +49,8 @@ def distance_sums(points: DataFrame, columns: Sequence[str], labels: Mapping[str
         out["sums"] = list(np.sqrt(square) @ weight)
         return out
 
-    own = F.pmod(F.xxhash64(*names), F.lit(blocks))
+    # Both keys have one type, or the two sides would be hashed differently.
+    own = F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     rows = points.select(*names, *label_names, WEIGHT)
     left = rows.select(*names, own.alias("_left"), others.alias("_right"))
