@@ -234,6 +234,7 @@ def test_silhouette_equals_brute_force(blobs, monkeypatch, uncoalesced, block):
     alone = blobs.union(blobs.limit(1).selectExpr("80D", "80D", "80D"))
     points = counted_points(alone, columns).withColumn("c", nearest_centre(columns, centres)).cache()
     ours = {(r.x, r.y, r.z): r.silhouette for r in silhouettes(points, columns, {"c": 4}).collect()}
+    assert silhouettes(points, columns, {"c": 4}).count() == len(ours)
     pdf = points.toPandas()
     pdf = pdf.loc[pdf.index.repeat(pdf[WEIGHT])].reset_index(drop=True)
     x, c = pdf[columns].to_numpy(), pdf.c.to_numpy()

@@ -33,9 +33,10 @@ def distance_sums(points: DataFrame, columns: Sequence[str], labels: Mapping[str
     blocks = max(1, math.ceil(points.count() / POINTS_PER_BLOCK))
     width = sum(labels.values())
     names, label_names = list(columns), list(labels)
+    other_names = [f"other_{c}" for c in names]
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, z = left[names].to_numpy(dtype=float), right[names].to_numpy(dtype=float)
+        x, z = left[names].to_numpy(dtype=float), right[other_names].to_numpy(dtype=float)
         weight = np.zeros((len(z), width))
         at = 0
         for label in label_names:
@@ -54,7 +55,14 @@ def distance_sums(points: DataFrame, columns: Sequence[str], labels: Mapping[str
     others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     rows = points.select(*names, *label_names, WEIGHT)
     left = rows.select(*names, own.alias("_left"), others.alias("_right"))
-    right = rows.withColumn("_right", own).withColumn("_left", others)
+    # The right side gets columns of its own. If both sides shared theirs, the
+    # optimizer could prune one side by the needs of the other.
+    right = rows.select(
+        *[F.col(c).alias(o) for c, o in zip(names, other_names)],
+        *[F.col(c).alias(c) for c in [*label_names, WEIGHT]],
+        own.alias("_right"),
+        others.alias("_left"),
+    )
     schema = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in names) + ", sums array<double>"
     parts = (
         left.groupBy("_left", "_right").cogroup(right.groupBy("_left", "_right")).applyInPandas(sums, schema)
