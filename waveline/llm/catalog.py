@@ -11,7 +11,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 #: Modules that register queries.
-MODULES = ["op3", "op6", "op8", "op9", "op10"]
+MODULES = ["op3", "op4", "op6", "op8", "op9", "op10"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
