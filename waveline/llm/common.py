@@ -40,6 +40,13 @@ def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.tobytes())
 
 
+class Numbers(dict):
+    """Numbers of words; a word without one has -1."""
+
+    def __missing__(self, key: str) -> int:
+        return -1
+
+
 class Scratch:
     """Tables between the steps of one operator, in the shared folder.
 

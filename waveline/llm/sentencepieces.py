@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waveline.llm.common import id_and_text, text_bytes
+from waveline.llm.common import Numbers, id_and_text, text_bytes
 
 MARK = "▁"
 #: Stands for a marker in the text itself; no decoded text holds a lone high surrogate.
@@ -106,7 +106,7 @@ class Pieces:
     out_start: np.ndarray
     marked_inside: bool
     with_newline: bool
-    known: dict[str, int] = field(default_factory=dict, repr=False)
+    known: Numbers = field(default_factory=Numbers, repr=False)
     flat: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32), repr=False)
     starts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32), repr=False)
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32), repr=False)
@@ -180,10 +180,12 @@ class Pieces:
             cuts = [self.cut(t) for t in texts[at:to]]
             if len(self.known) > REMEMBERED:
                 self.forget()
-            new = set(chain.from_iterable(cuts)) - self.known.keys()
-            if new:
-                self.learn(list(new))
-            words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int32, sum(map(len, cuts)))
+            seen = list(chain.from_iterable(cuts))
+            words = np.fromiter(map(self.known.__getitem__, seen), np.int32, len(seen))
+            missing = np.flatnonzero(words < 0).tolist()
+            if missing:
+                self.learn(list({seen[i] for i in missing}))
+                words[missing] = [self.known[seen[i]] for i in missing]
             n = self.sizes[words]
             index = np.repeat(self.starts[words] - (np.cumsum(n) - n), n) + np.arange(n.sum(), dtype=np.int32)
             ids = self.flat[index]

@@ -20,13 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waveline.llm.common import crc32, id_and_text, text_bytes
+from waveline.llm.common import Numbers, crc32, id_and_text, text_bytes
 from waveline.llm.perfect_hash import PerfectHash, fingerprint
 
 #: Ids of a shard, about; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
 #: Words whose ids a Python worker remembers, and characters of text that it cuts at once.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 PART = 4_000_000
 #: Where a document has no id.
 NO_KEY = -(1 << 63)
@@ -34,6 +34,7 @@ NO_KEY = -(1 << 63)
 SHARD = "part int, seq int, first_key long, last_key long, n_docs long, n_ids long, before long, width int, keys binary, offsets binary, hash binary, slots binary, ids binary"
 
 _CLEAN = re.compile(r" ?\S+")
+_WITH_TAIL = re.compile(r"(.*[^\W\d_])([!-/:-@\[-`{-~]+)")
 _SPACES = re.compile(r"\s\s")
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -54,7 +55,9 @@ class WordEncoder:
         # Names of special tokens in a text are ordinary text.
         self.tokenizer.encode_special_tokens = True
         self.newline = self._plain(["\n"])[0][0]
-        self.forget()
+        self.known = Numbers()
+        self.flat, self.starts, self.sizes = (np.zeros(0, np.int32) for _ in range(3))
+        self.used = np.zeros(0, np.int64)
 
     @property
     def width(self) -> int:
@@ -64,10 +67,6 @@ class WordEncoder:
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = (np.zeros(0, np.int32) for _ in range(3))
-
     @staticmethod
     def cut(text: str) -> list[str]:
         if _SPACES.search(text):
@@ -84,6 +83,17 @@ class WordEncoder:
         return words
 
     def learn(self, words: list[str]) -> None:
+        """Remember the ids of new words; signs behind a letter are pieces of their own."""
+        tails = {w: m.groups() for w in words if (m := _WITH_TAIL.fullmatch(w))}
+        whole = set(words) - tails.keys()
+        whole.update(part for parts in tails.values() for part in parts)
+        self._remember([w for w in whole if w not in self.known])
+        pairs = np.array([[self.known[a], self.known[b]] for a, b in tails.values()], np.int64).reshape(-1, 2)
+        n = self.sizes[pairs].ravel()
+        index = np.repeat(self.starts[pairs].ravel() - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        self._append(list(tails), self.flat[index], n.reshape(-1, 2).sum(axis=1).astype(np.int32))
+
+    def _remember(self, words: list[str]) -> None:
         clean = [w for w in words if _CLEAN.fullmatch(w)]
         other = [w for w in words if not _CLEAN.fullmatch(w)]
         # A line break between two words is always a piece of its own.
@@ -99,11 +109,25 @@ class WordEncoder:
         for found in self._plain(other):
             ids.append(np.array(found, np.int32))
             sizes.append(np.array([len(found)], np.int32))
-        new = np.concatenate(sizes)
+        self._append(clean + other, np.concatenate(ids), np.concatenate(sizes))
+
+    def _append(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.known)
-        self.known.update(zip(clean + other, range(first, first + len(words))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(new, dtype=np.int32) - new])
-        self.flat, self.sizes = np.concatenate([self.flat, *ids]), np.concatenate([self.sizes, new])
+        self.known.update(zip(words, range(first, first + len(words))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes, dtype=np.int32) - sizes])
+        self.flat, self.sizes = np.concatenate([self.flat, ids]), np.concatenate([self.sizes, sizes])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
+
+    def forget(self, times: int = 1 << 62) -> None:
+        """Forget words that were used fewer times; all, if that leaves too many."""
+        keep = self.used >= times
+        if 2 * keep.sum() > REMEMBERED:
+            keep[:] = False
+        n = self.sizes[keep]
+        index = np.repeat(self.starts[keep] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        words = [w for w, k in zip(self.known, keep.tolist()) if k]
+        self.known, self.flat = Numbers(zip(words, range(len(words)))), self.flat[index]
+        self.starts, self.sizes, self.used = np.cumsum(n, dtype=np.int32) - n, n, self.used[keep] // 2
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """Ids of each text, ``end`` behind them."""
@@ -116,11 +140,14 @@ class WordEncoder:
                 to += 1
             cuts = [self.cut(t) for t in texts[at:to]]
             if len(self.known) > REMEMBERED:
-                self.forget()
-            new = set(chain.from_iterable(cuts)) - self.known.keys()
-            if new:
-                self.learn(list(new))
-            words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cuts)), np.int32, sum(map(len, cuts)))
+                self.forget(times=3)
+            seen = list(chain.from_iterable(cuts))
+            words = np.fromiter(map(self.known.__getitem__, seen), np.int32, len(seen))
+            missing = np.flatnonzero(words < 0).tolist()
+            if missing:
+                self.learn(list({seen[i] for i in missing}))
+                words[missing] = [self.known[seen[i]] for i in missing]
+            self.used += np.bincount(words, minlength=len(self.used))
             n = self.sizes[words]
             index = np.repeat(self.starts[words] - (np.cumsum(n) - n), n) + np.arange(n.sum(), dtype=np.int32)
             ids = self.flat[index]
