@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,19 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def own_columns(docs: DataFrame) -> list[Column]:
+    """All columns of ``docs``, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; an absent id gives null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
@@ -36,6 +51,13 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of ``rows`` rows at most, so that few texts are held as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.tobytes())
 
@@ -47,11 +69,31 @@ class Numbers(dict):
         return -1
 
 
+def give_back() -> None:
+    """Return memory that a Python worker has freed to the machine; the worker itself lives on."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of ``rows`` rows at most, so that batches of long texts stay small on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables between the steps of one operator, in the shared folder.
 
-    A table is dropped as soon as the steps that read it have been written, so
-    the folder holds what is in use and no more.
+    A table is dropped as soon as the steps that read it have been written, and
+    shuffle files of written steps go before the next one begins, so the disks
+    hold what is in use and no more.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -59,19 +101,23 @@ class Scratch:
         self._paths: dict[int, str] = {}
 
     def put(self, df: DataFrame) -> DataFrame:
-        kept = StoredTable.write(df)
+        self.release()
+        with short_batches(self.spark):
+            kept = StoredTable.write(df)
         out = kept.read(self.spark)
         self._paths[id(out)] = kept.path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        """Delete these tables, and let Spark drop shuffle files that nothing reads any more."""
-        jvm = self.spark._jvm
+        """Delete these tables."""
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(df)))
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(id(df)))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark drop the shuffle files of plans that are out of use; it does so on garbage collection."""
         gc.collect()
-        jvm.System.gc()
+        self.spark._jvm.System.gc()
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:

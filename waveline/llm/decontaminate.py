@@ -13,13 +13,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waveline.llm.common import own_columns
+
 #: Words of a seed: 1 counts, 0 may differ.
 MASKS = ("111011", "1101011", "11001101")
 SPAN = max(map(len, MASKS))
 #: A leak scores as much as this many words of which four in five agree; an
 #: item with fewer words must agree so as a whole.
 OVERLAP = 20
-SHARE = 0.8
+SHARE = 80  # per cent
 #: Words of the benchmark that are broadcast at a time.
 BLOCK_WORDS = 200_000
 
@@ -98,8 +100,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
         some = items.filter(F.pmod(F.xxhash64("b_words"), F.lit(blocks)) == block).withColumn("item", F.xxhash64("item_id", "b_words"))
         hits = _hits(texts, some)
         found = hits if found is None else found.unionAll(hits)
-    least = (2 * SHARE - 1) * F.least(F.col("item_words"), F.lit(OVERLAP))
-    enough = found.filter(F.col("overlap") >= least)
+    least = (2 * SHARE - 100) * F.least(F.col("item_words"), F.lit(OVERLAP))
+    enough = found.filter(100 * F.col("overlap") >= least)
     return enough.groupBy("doc_id", "item_id").agg(F.max("overlap").cast("long").alias("overlap"), F.max("item_words").cast("long").alias("item_words"))
 
 
@@ -118,4 +120,4 @@ def _hits(texts: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those that hold a passage of the benchmark; rows without doc_id stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(own_columns(docs))

@@ -42,7 +42,7 @@ k as (
   from s)
 select doc_id, item_id, max(total - coalesce(low, 0))::bigint as overlap, any_value(item_words)::bigint as item_words
 from k group by doc_id, item_id
-having max(total - coalesce(low, 0)) >= {2 * SHARE - 1} * least(any_value(item_words), {OVERLAP})
+having 100 * max(total - coalesce(low, 0)) >= {2 * SHARE - 100} * least(any_value(item_words), {OVERLAP})
 """
 
 
