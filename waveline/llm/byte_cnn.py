@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waveline.llm.common import id_and_text, in_parts, text_bytes
+from waveline.llm.common import id_and_text, in_parts, own_columns, text_bytes
 
 #: Bytes of a window, sizes of the network.
 WINDOW = 128
@@ -226,4 +226,4 @@ def keep_identified(docs: DataFrame, model: ByteCNN, least: float = LEAST) -> Da
     found = identify(docs, model)
     kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc_id").distinct()
     gone = found.select("doc_id").join(kept, "doc_id", "left_anti").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(own_columns(docs))

@@ -324,7 +324,7 @@ def encode(docs: DataFrame, pieces: Broadcast) -> DataFrame:
 
 
 def decode(encoded: DataFrame, pieces: Broadcast) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids); absent or no ids give the empty text."""
+    """(doc_id, ids, text) of (doc_id, ids); absent or no ids give the empty text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces.value
@@ -333,9 +333,10 @@ def decode(encoded: DataFrame, pieces: Broadcast) -> DataFrame:
             flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
             there = lists.is_valid().to_numpy(zero_copy_only=False)
             texts = [own.decode(flat[a:b]) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], there)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string(), safe=False)], names=["doc_id", "text"])
+            plain = pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, plain], names=["doc_id", "ids", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(of, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(of, "doc_id long, ids array<int>, text string")
 
 
 def digests(encoded: DataFrame, pieces: Broadcast) -> DataFrame:

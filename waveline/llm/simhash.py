@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waveline.llm.common import Scratch, id_and_text, text_bytes, whole_groups
+from waveline.llm.common import Scratch, id_and_text, own_columns, text_bytes, whole_groups
 from waveline.llm.components import components
 
 BITS = 64
@@ -226,4 +226,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) ->
     found = near_duplicates(docs, shingle, radius)
     kept = found.filter("doc_id = component_id").select("doc_id")
     gone = found.filter("doc_id != component_id").select("doc_id").join(kept, "doc_id", "left_anti").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(own_columns(docs))
