@@ -321,3 +321,17 @@ def test_pass_model_equals_plain_numpy_on_the_panel(spark):
     assert fit.rows == len(pdf) == 11_915 and fit.converged
     assert math.isclose(fit.deviance, deviance, abs_tol=1e-6)
     assert np.allclose(fit.beta, beta, atol=1e-5)
+
+
+def test_starts_come_from_all_points_at_any_partitioning(spark):
+    from waveline.operators.kmeans import _starts
+
+    points = spark.range(5000).selectExpr("cast(id as double) as x", "cast(id * id % 97 as double) as y", "1L as n_rows")
+    keys = [(k, s) for k in (2, 5) for s in range(3)]
+    found = [_starts(points.repartition(n), ["x", "y"], keys, 2) for n in (1, 4, 13)]
+    for other in found[1:]:
+        assert all(np.array_equal(found[0][key], other[key]) for key in keys)
+    assert all(len({tuple(c) for c in found[0][k, s]}) == k for k, s in keys)
+    assert max(c[0] for centres in found[0].values() for c in centres) > 4000
+    with pytest.raises(ValueError, match="distinct points"):
+        _starts(points.limit(3), ["x", "y"], keys, 2)

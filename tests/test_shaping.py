@@ -185,3 +185,16 @@ def test_csv_round_trip_keeps_missing_values(spark):
 
     back = read_panel(spark, path, _parse_datatype_string(schema))
     assert collected(back) == [(1, 1, "b"), (2, 2, None)]
+
+
+def test_csv_scan_goes_by_name(spark, tmp_path):
+    from waveline.sources.panel_csv import PANEL_SCHEMA, read_panel
+
+    names = [f.name for f in PANEL_SCHEMA if f.name not in ("LeadStatus", "Week")]
+    (tmp_path / "e.csv").write_text(",".join(["Other", *reversed(names)]) + "\n" + ",".join(["x", *["3"] * (len(names) - 1), "E"]) + "\n" + ",".join(["y", *["NA"] * len(names)]) + "\n")
+    found = read_panel(spark, str(tmp_path / "e.csv"))
+    assert found.columns == PANEL_SCHEMA.names
+    rows = {r.Study: r for r in found.collect()}
+    assert rows["E"].PatientID == 3
+    assert rows["E"].LeadStatus is None and rows["E"].Week is None
+    assert rows[None].P1 is None

@@ -106,6 +106,50 @@ def kmeans_sweep(spark, sf_dir):
     return spark.createDataFrame([(r.k, r.withinss, r.steps) for r in fits], "k int, withinss double, steps int")
 
 
+def _misplaced(rows, columns, cluster, k):
+    """Rows, and those that lie nearer to the mean of another cluster than of their own."""
+    means = rows.groupBy(cluster).agg(*[F.avg(c).alias(c) for c in columns])
+    centres = [list(r)[1:] for r in means.orderBy(cluster).collect()]
+    square = [sum((F.col(c) - v) * (F.col(c) - v) for c, v in zip(columns, centre)) for centre in centres]
+    own = F.element_at(F.array(*square), F.col(cluster))
+    wrong = F.coalesce((own > F.array_min(F.array(*square)) + 1e-9).cast("int"), F.lit(1))
+    return rows.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("n"), F.sum(wrong).alias("misplaced"))
+
+
+@query(
+    "m2_sweep_certificate",
+    with_(PROFILES, "select k::int as k, count(*) as n, 0::bigint as misplaced from profiles, range(2, 13) r(k) group by k"),
+)
+def sweep_certificate(spark, sf_dir):
+    """Each fit of the sweep stands still: every profile is nearest to the mean of its own cluster."""
+    found = labelled(points(spark, sf_dir), runs(spark, sf_dir))
+    rows = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))))
+    out = None
+    for k in runs(spark, sf_dir):
+        part = _misplaced(rows, SCALED, f"k{k}", k)
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+@query(
+    "m3_fit_certificate",
+    with_(PROFILES, """select 4 as k, count(*) as n, 0::bigint as misplaced from profiles"""),
+)
+def fit_certificate(spark, sf_dir):
+    from waveline.operators.scale import z_scores
+
+    return _misplaced(z_scores(fitted(spark, sf_dir), PROFILE, "z_{col}"), SCALED, "cluster", 4)
+
+
+@query(
+    "c7_study_totals",
+    with_(PROFILES, "select Study, count(*)::bigint as n from profiles group by Study"),
+)
+def study_totals(spark, sf_dir):
+    """Rows of the chart of clusters by study, added up over the clusters."""
+    return cluster_study_chart(spark, sf_dir).groupBy("Study").agg(F.sum("n").alias("n"))
+
+
 @query("m3_final_clusters")
 def final(spark, sf_dir):
     return fitted(spark, sf_dir)
@@ -275,9 +319,36 @@ def counts_with_means(spark, sf_dir):
     return rounded(score_counts_with_means(assigned(spark, sf_dir)), "mean_CGIScore", f"mean_{SCORE}")
 
 
+# Ranges of the three scores of a profile, as in the densities above.
+RANGES = {SCORE: (30, 210), "CompositeScore": (-42, 42), "CGIScore": (0, 8)}
+
+
 @query("c9_score_distribution")
 def distribution_chart(spark, sf_dir):
-    return density(fitted(spark, sf_dir), ["cluster"], SCORE, 30, 210, 64).orderBy("cluster", "x")
+    """Density of each of the three scores in each fitted cluster."""
+    out = None
+    for score, (low, high) in RANGES.items():
+        part = density(fitted(spark, sf_dir), ["cluster"], score, low, high, 64).withColumn("score", F.lit(score))
+        out = part if out is None else out.unionByName(part)
+    return out.orderBy("score", "cluster", "x")
+
+
+@query("c10_fitted_points")
+def fitted_points(spark, sf_dir):
+    """Counted points of the fitted clusters, beside the mean position of each cluster."""
+    rows = fitted(spark, sf_dir)
+    means = rows.groupBy("cluster").agg(F.avg("CompositeScore").alias("mean_CompositeScore"), F.avg(SCORE).alias(f"mean_{SCORE}"))
+    return group_counts(rows, ["CompositeScore", SCORE, "cluster"]).join(means, "cluster")
+
+
+@query(
+    "c10_fitted_counts",
+    with_(PROFILES, "select CompositeScore::int as CompositeScore, PANSS_Total::int as PANSS_Total, count(*) as n from profiles group by all"),
+)
+def fitted_counts(spark, sf_dir):
+    """The fitted points without their labels: each profile has one cluster."""
+    rows = fitted_points(spark, sf_dir).groupBy(F.col("CompositeScore").cast("int"), F.col(SCORE).cast("int").alias(SCORE))
+    return rows.agg(F.sum("n").alias("n")).toDF("CompositeScore", SCORE, "n")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from waveline.catalog.registry import query, shared_table, visits
@@ -72,13 +74,13 @@ design as (
   from data where BaselinePANSS is not null)"""
 
 
-@query("m10_design_sums", with_(_DESIGN, "select term, sum(value) as total from design group by term"))
+@query("m10_design_sums", with_(_DESIGN, "select term, round(sum(value), 3) as total from design group by term"))
 def design_sums(spark, sf_dir):
     data = treated(spark, sf_dir)
     design = effect_design(data, _FULL)
     names = F.array(*[F.lit(n) for n in design.names])
-    cells = design_rows(data, design, ["PatientID"]).select(F.posexplode("x").alias("j", "value"))
-    return cells.groupBy(F.get(names, F.col("j")).alias("term")).agg(F.sum("value").alias("total"))
+    total = design_rows(data, design, ["PatientID"]).agg(vector_to_array(Summarizer.sum(array_to_vector("x"))).alias("x"))
+    return total.select(F.posexplode("x").alias("j", "total")).select(F.get(names, F.col("j")).alias("term"), F.round("total", 3).alias("total"))
 
 
 @query(
@@ -117,6 +119,82 @@ def intervals(spark, sf_dir):
     return table.select("model", "term", "low", "high")
 
 
+# The models have closed forms: crossed factors are cell means, a crossed
+# covariate is one line per cell.
+_LINE = "regr_syy(PANSS_Total, BaselinePANSS) - regr_sxy(PANSS_Total, BaselinePANSS) ** 2 / regr_sxx(PANSS_Total, BaselinePANSS)"
+_FITS = TREATMENT + f""",
+kept as (select * from data where BaselinePANSS is not null),
+whole as (select count(*) as rows, var_pop(PANSS_Total) * count(*) as tss from kept),
+parts as (
+  select 'study_group_baseline' as model, 2 as size, {_LINE} as rss from kept group by Study, TxGroup
+  union all select 'study_group', 1, var_pop(PANSS_Total) * count(*) from kept group by Study, TxGroup
+  union all select 'baseline_group', 2, {_LINE} from kept group by TxGroup),
+fits as (
+  select model, rows, rows - sum(size)::bigint as res_df, sum(size)::bigint - 1 as f_df, sum(rss) as rss, any_value(tss) as tss
+  from parts, whole group by model, rows)"""
+
+
+@query(
+    "m7_model_fit",
+    with_(_FITS, """select model, rows, res_df, f_df, round(sqrt(rss / res_df), 6) as sigma, round(1 - rss / tss, 6) as r2,
+        round(1 - rss / tss * (rows - 1) / res_df, 6) as adj_r2, round((tss - rss) / f_df / (rss / res_df), 4) as f from fits"""),
+)
+def model_fit(spark, sf_dir):
+    table = ols.summary_table(spark, effect_models(treated(spark, sf_dir))).drop("p")
+    return rounded(table, "sigma", "r2", "adj_r2").withColumn("f", F.round("f", 4))
+
+
+@query(
+    "m8_comparison_steps",
+    with_(_FITS, """, steps as (
+  select model, res_df, rss, lag(res_df) over o - res_df as df, lag(rss) over o - rss as sum_sq,
+         last_value(rss / res_df) over (order by res_df desc rows between unbounded preceding and unbounded following) as scale
+  from fits window o as (order by res_df desc))
+select model, res_df, round(rss, 4) as rss, df, round(sum_sq, 4) as sum_sq, round(sum_sq / df / scale, 4) as f from steps"""),
+)
+def comparison_steps(spark, sf_dir):
+    table = effect_comparison(treated(spark, sf_dir)).drop("p")
+    return table.withColumns({c: F.round(c, 4) for c in ("rss", "sum_sq", "f")})
+
+
+_EFFECTS = _FITS + f""",
+cell as (select Study, TxGroup, avg(PANSS_Total) as m, 1.0::double / count(*) as v from kept group by Study, TxGroup),
+sd as (select sqrt(rss / res_df) as sigma, res_df from fits where model = 'study_group'),
+pick as (
+  select * from (values ('(Intercept)', 'A', 'Control', 1), ('TxGroupTreatment', 'A', 'Treatment', 1), ('TxGroupTreatment', 'A', 'Control', -1)) v(term, Study, TxGroup, w)
+  {" ".join(
+      f"union all select * from (values ('Study{s}', '{s}', 'Control', 1), ('Study{s}', 'A', 'Control', -1),"
+      f" ('Study{s}:TxGroupTreatment', '{s}', 'Treatment', 1), ('Study{s}:TxGroupTreatment', '{s}', 'Control', -1),"
+      f" ('Study{s}:TxGroupTreatment', 'A', 'Treatment', -1), ('Study{s}:TxGroupTreatment', 'A', 'Control', 1)) v(term, Study, TxGroup, w)"
+      for s in "BCDE")}),
+effects as (
+  select term, sum(w * m) as estimate, sqrt(sum(v)) * any_value(sigma) as std_error, any_value(res_df)::double as df
+  from pick join cell using (Study, TxGroup), sd group by term)"""
+
+
+@query(
+    "m7_cell_effects",
+    with_(_EFFECTS, "select term, round(estimate, 6) as estimate, round(std_error, 6) as std_error, round(estimate / std_error, 4) as t from effects"),
+)
+def cell_effects(spark, sf_dir):
+    table = ols.coefficient_table(spark, effect_models(treated(spark, sf_dir))).where("model = 'study_group'")
+    return rounded(table.select("term", "estimate", "std_error", F.round("t", 4).alias("t")), "estimate", "std_error")
+
+
+# The quantile of t by its expansion in 1 / df around the normal one.
+_Z = 1.959963984540054
+_T = f"({_Z} + {(_Z**3 + _Z) / 4!r} / df + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96!r} / (df * df))"
+
+
+@query(
+    "m9_cell_intervals",
+    with_(_EFFECTS, f"select term, round(estimate - {_T} * std_error, 4) as low, round(estimate + {_T} * std_error, 4) as high from effects"),
+)
+def cell_intervals(spark, sf_dir):
+    table = ols.coefficient_table(spark, effect_models(treated(spark, sf_dir))).where("model = 'study_group'")
+    return table.select("term", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
 
 @query(
     "m24_line_per_group",
@@ -136,6 +214,19 @@ def curves(spark, sf_dir):
     return polynomial_trend(treated(spark, sf_dir), "Study", "TreatmentWeek", SCORE, 4)
 
 
+@query(
+    "m24_curve_values",
+    with_(TREATMENT, "select Study, TreatmentWeek, round(avg(PANSS_Total), 4) as value from data group by all"),
+)
+def curve_values(spark, sf_dir):
+    """The curve of degree 4 at the five weeks, where it meets the cell means."""
+    data = treated(spark, sf_dir)
+    weeks = data.select("Study", "TreatmentWeek").distinct()
+    terms = polynomial_trend(data, "Study", "TreatmentWeek", SCORE, 4).join(weeks, "Study")
+    value = F.sum(F.col("estimate") * F.when(F.col("power") == 0, F.lit(1.0)).otherwise(F.pow("TreatmentWeek", "power")))
+    return terms.groupBy("Study", "TreatmentWeek").agg(F.round(value, 4).alias("value"))
+
+
 @query("m23_degree_sweep")
 def degrees(spark, sf_dir):
     return degree_sweep(features(spark, sf_dir).where("Study = 'E'"))
@@ -213,6 +304,29 @@ def logistic_fit(spark, sf_dir):
     return spark.createDataFrame(model.coefficients(), "term string, estimate double")
 
 
+@query(
+    "m17_score_equations",
+    with_(_CHECKS, """select TxGroup, count(*) as n, sum(case when LeadStatus = 'P' then 1 else 0 end)::double as passed
+        from flagged where Study <> 'E' group by TxGroup"""),
+)
+def score_equations(spark, sf_dir):
+    """At the fit the probabilities of each group add up to its passed rows, as the group is a term."""
+    rows = labelled_rows(checks(spark, sf_dir))
+    model = logistic.fit(rows, check_design(rows), "passed")
+    scored = logistic.predict(rows, model, ["TxGroup"])
+    return scored.groupBy("TxGroup").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("probability"), 3).alias("passed"))
+
+
+@query(
+    "m20_scored_rows",
+    with_(_CHECKS, "select AssessmentID, true as valid from flagged where Study = 'E'"),
+)
+def scored_rows(spark, sf_dir):
+    found = pass_probabilities(checks(spark, sf_dir))
+    probability = [c for c in found.columns if c != "AssessmentID"][0]
+    return found.select("AssessmentID", F.col(probability).between(0, 1).alias("valid"))
+
+
 @query("m19_accuracies")
 def model_accuracies(spark, sf_dir):
     return accuracies(checks(spark, sf_dir))
@@ -270,6 +384,15 @@ def keyed_predictions(spark, sf_dir):
     return predicted(test, forecast_model(spark, sf_dir, 1.0), ["AssessmentID", "PatientID", SCORE])
 
 
+@query(
+    "j8_predicted_rows",
+    with_(VISITS, f"""select AssessmentID, PatientID, PANSS_Total from visits
+        where Study = 'E' and {_DRAW.format(seed=2)} >= 0.7"""),
+)
+def predicted_rows(spark, sf_dir):
+    return keyed_predictions(spark, sf_dir).where("predicted is not null").select("AssessmentID", "PatientID", SCORE)
+
+
 @query("m15_patient_effects")
 def patient_effects(spark, sf_dir):
     model = forecast_model(spark, sf_dir, 1.0)
@@ -281,6 +404,19 @@ def week_forecast(spark, sf_dir):
     return target_forecast(features(spark, sf_dir), forecast_model(spark, sf_dir, 1.0))
 
 
+@query(
+    "m16_forecast_rows",
+    with_(VISITS, """, target as (select PatientID, PANSS_Total from visits where Study = 'E' and Week = 18)
+select p.PatientID, t.PANSS_Total::double as actual
+from (select distinct PatientID from visits where Study = 'E') p left join target t on p.PatientID = t.PatientID"""),
+)
+def forecast_rows(spark, sf_dir):
+    """Every patient has a score at the target; where one was measured, it is that one."""
+    known = features(spark, sf_dir).where("Study = 'E' and Week = 18").select("PatientID").distinct().withColumn("known", F.lit(True))
+    table = target_forecast(features(spark, sf_dir), forecast_model(spark, sf_dir, 1.0)).where(F.col(SCORE).isNotNull())
+    return table.join(known, "PatientID", "left").select("PatientID", F.when(F.col("known"), F.col(SCORE).cast("double")).alias("actual"))
+
+
 @query("m21_ridge_path")
 def ridge_path(spark, sf_dir):
     return path_table(features(spark, sf_dir), forecast_model(spark, sf_dir, 0.0))

@@ -32,6 +32,18 @@ def csv_scan(spark, sf_dir):
     return read_panel(spark, path)
 
 
+@query("s1_study_files", with_(PANEL, "select * from panel"))
+def study_files(spark, sf_dir):
+    """Five files as they come: columns in any order, one without LeadStatus, none with Week."""
+    parts = []
+    for i, study in enumerate("ABCDE"):
+        path = scratch_path(spark)
+        own = panel(spark, sf_dir).where(F.col("Study") == study).drop("Week", *["LeadStatus"] * (study == "E"))
+        write_panel(own.select(*own.columns[i:], *own.columns[:i]), path)
+        parts.append(read_panel(spark, path).drop("Week"))
+    return combine_studies(parts)
+
+
 @query(
     "s2_csv_row_names",
     with_(PANEL, """
@@ -234,9 +246,9 @@ def stack_studies(spark, sf_dir):
     return combine_studies(_study_files(spark, sf_dir))
 
 
-@query("t7_union", with_(PANEL, "select * from panel where Study in ('A', 'B')"))
+@query("t7_union", with_(PANEL, "select * from panel"))
 def union(spark, sf_dir):
-    return combine_studies(_study_files(spark, sf_dir)[:2])
+    return combine_studies(_study_files(spark, sf_dir))
 
 
 _SITE_COLUMNS = ["Study", "Country", "TxGroup", "Week"]

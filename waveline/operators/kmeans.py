@@ -14,11 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WEIGHT = "n_rows"
-START_POOL = 4_096
 POINTS_PER_STEP = 1_024
 
 
@@ -36,16 +36,37 @@ class Run:
     steps: int
 
 
-def _start_pool(points: DataFrame, columns: Sequence[str], needed: int, seed: int) -> np.ndarray:
-    """A uniform sample of distinct points, about ``START_POOL`` of them."""
-    total = points.count()
-    if total < needed:
-        raise ValueError(f"{needed} clusters need at least {needed} distinct points, found {total}")
-    drawn = points.select(*columns)
-    if total > START_POOL:
-        drawn = drawn.sample(START_POOL / total, seed=seed)
-    pool = np.array([list(r) for r in drawn.collect()], dtype=float)
-    return pool[np.lexsort(pool.T)]
+def _starts(points: DataFrame, columns: Sequence[str], keys: list[tuple[int, int]], seed: int) -> dict[tuple[int, int], np.ndarray]:
+    """First centres of every run: the k points with the smallest draws of that run.
+
+    A draw hangs on the point and the run alone, so any point can be a start
+    and the starts are the same for any partitioning. A task returns its k
+    smallest of each run; what the driver sees is the centres.
+    """
+    runs = np.array([(k, start) for k, start in keys], np.uint64)
+    mixed = (runs[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (runs[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F))
+
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            drawn = pdf["drawn"].to_numpy().view(np.uint64)
+            for run, (k, _) in enumerate(keys):
+                x = (drawn ^ mixed[run]) * np.uint64(0xFF51AFD7ED558CCD)
+                x = ((x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)) >> np.uint64(1)
+                best = np.argsort(x, kind="stable")[:k]
+                yield pdf.iloc[best].assign(run=run, draw=x[best].astype(np.int64))
+
+    drawn = points.select(*columns, F.xxhash64(F.lit(seed), *columns).alias("drawn"))
+    schema = T.StructType([*drawn.schema, T.StructField("run", T.IntegerType()), T.StructField("draw", T.LongType())])
+    rank = F.row_number().over(Window.partitionBy("run").orderBy("draw", *columns))
+    size = F.get(F.array(*[F.lit(k) for k, _ in keys]), F.col("run"))
+    chosen = drawn.mapInPandas(smallest, schema).withColumn("rank", rank).filter(F.col("rank") <= size).orderBy("run", "rank").collect()
+    out: dict[tuple[int, int], list] = {key: [] for key in keys}
+    for row in chosen:
+        out[keys[row["run"]]].append([float(row[c]) for c in columns])
+    for (k, _), centres in out.items():
+        if len(centres) < k:
+            raise ValueError(f"{k} clusters need at least {k} distinct points, found {len(centres)}")
+    return {key: np.array(centres) for key, centres in out.items()}
 
 
 def _pass(points: DataFrame, columns: Sequence[str], runs: list[np.ndarray]) -> np.ndarray:
@@ -102,10 +123,8 @@ def fit_runs(
 
     ``points`` comes from ``counted_points`` and should be a stored table.
     """
-    rng = np.random.default_rng(seed)
-    pool = _start_pool(points, columns, max(ks), seed)
     keys = [(k, s) for k in ks for s in range(starts)]
-    centres = {key: pool[rng.choice(len(pool), key[0], replace=False)] for key in keys}
+    centres = _starts(points, columns, keys, seed)
     withinss = dict.fromkeys(keys, np.inf)
     steps = dict.fromkeys(keys, 0)
     active = list(keys)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,8 +40,20 @@ VISIT_ORDER = ["PatientID", "VisitDay", *TIES]
 
 
 def read_panel(spark: SparkSession, path: str, schema: T.StructType = PANEL_SCHEMA) -> DataFrame:
-    """Scan CSV files with a header; ``NA`` is null. No inference pass is run."""
-    return spark.read.csv(path, schema=schema, header=True, nullValue="NA", enforceSchema=False)
+    """Scan CSV files with a header, by name; ``NA`` is null and no inference pass is run.
+
+    The header line of the path gives the columns and their order. Columns of
+    ``schema`` that the file lacks are null, others of the file are left out.
+    All files of one path must have the same header; read others on their own.
+    """
+    first = spark.read.text(path).filter("length(trim(value)) > 0").first()
+    if first is None:
+        return spark.createDataFrame([], schema)
+    header = next(csv.reader([first.value.lstrip("\ufeff")]))
+    types = {f.name: f.dataType for f in schema}
+    found = T.StructType([T.StructField(name, types.get(name, T.StringType())) for name in header])
+    rows = spark.read.csv(path, schema=found, header=True, nullValue="NA", enforceSchema=False)
+    return rows.select(*[F.col(f"`{n}`") if n in header else F.lit(None).cast(t).alias(n) for n, t in types.items()])
 
 
 def write_panel(
