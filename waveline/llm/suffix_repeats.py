@@ -18,17 +18,18 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waveline.llm.common import Scratch, text_bytes, whole_groups
+from waveline.llm.common import Scratch, give_back, in_parts, own_columns, text_bytes, unused, whole_groups
 
 #: Bytes of an anchor, or half of a shorter ``length``.
 ANCHOR = 32
 #: Positions hashed at once, runs and bytes that a task looks at together.
-SLAB = 1 << 19
-RUNS = 1 << 20
-SUFFIX_BYTES = 1 << 21
+SLAB = 1 << 18
+RUNS = 1 << 18
+SUFFIX_BYTES = 1 << 20
 #: Runs that one suffix array takes from an anchor; an anchor with more
 #: different runs deals its strings out by their content.
 PER_ARRAY = 8_192
@@ -57,7 +58,8 @@ class _Hashes:
     """Hashes of any string of a buffer that is no longer than ``size``."""
 
     def __init__(self, data: np.ndarray, base: int, size: int) -> None:
-        up, self._down = _powers(base, size + 1)
+        # A few sizes only, as the powers of each stay in memory.
+        up, self._down = _powers(base, 1 << int(size + 1).bit_length())
         self._sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self._sums[1:])
 
@@ -209,7 +211,7 @@ def _batched_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tu
     """Anchor, whole hash, doc_id, tie, off, count of about ``RUNS`` runs at a time."""
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
-    for batch in batches:
+    for batch in in_parts(batches):
         ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for anchor, whole, doc, off, count in runs_of(text_bytes(batch.column(2)), length):
             held.append((anchor, whole, ids[doc], ties[doc], off, count))
@@ -219,6 +221,7 @@ def _batched_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tu
                 held, n = [], 0
     if held:
         yield tuple(map(np.concatenate, zip(*held)))
+    give_back()
 
 
 def _edge_rows(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
@@ -292,28 +295,25 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         .selectExpr("doc_id", "tie", "off as start", f"off + n - 1 + {length} as `end`")
     )
     several = firsts.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1")
-    edges = firsts.join(several, "g").selectExpr("first.doc_id", "first.tie", "struct(g, k, first.off as off, first.n as n) as edge")
-    by_doc = edges.groupBy("doc_id", "tie").agg(F.collect_list("edge").alias("edges"))
+    edges = firsts.join(several, "g").select("first.doc_id", "first.tie", "g", "k", "first.off", "first.n")
+    # Strings are cut out of the texts before Python sees them.
+    cut = f"substring(cast(text as binary), cast(off + 1 as int), cast(n as int) + {length - 1}) as data"
+    snippets = docs.join(edges, ["doc_id", "tie"]).selectExpr("g", "k", "doc_id", "tie", "off", cut)
 
     def first_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-        for whole in batches:
-            for i in range(whole.num_rows):
-                row = whole.slice(i, 1)
-                text = text_bytes(row.column(2))[0]
-                g, k, off, n = (c.to_numpy() for c in row.column(3).flatten().flatten())
-                data = [text[a : a + b - 1 + length] for a, b in zip(off.tolist(), n.tolist())]
-                same = np.ones(len(g), np.int64)
-                held.append(pa.RecordBatch.from_arrays([pa.array(g), pa.array(k), pa.array(same * row.column(0)[0].as_py()), pa.array(same * row.column(1)[0].as_py()), pa.array(off), pa.array(data, pa.binary())], names=["g", "k", "doc_id", "tie", "off", "data"]))
-                size += sum(map(len, data))
-                if size >= SUFFIX_BYTES:
-                    yield from _edge_rows(pa.Table.from_batches(held), length)
-                    held, size = [], 0
+        for batch in in_parts(batches, 2_000):
+            held.append(batch)
+            size += batch.column(5).nbytes
+            if size >= SUFFIX_BYTES:
+                yield from _edge_rows(pa.Table.from_batches(held), length)
+                held, size = [], 0
         if held:
             yield from _edge_rows(pa.Table.from_batches(held), length)
+        give_back()
 
-    looked = scratch.put(docs.join(by_doc, ["doc_id", "tie"]).mapInArrow(first_look, _EDGES))
+    looked = scratch.put(snippets.mapInArrow(first_look, _EDGES))
 
     def last_look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["g", "x"], SUFFIX_BYTES // (length + ANCHOR)):
@@ -321,12 +321,14 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
             snippets = _Snippets(doc, tie, off, t.column("data").to_pylist(), length, t.column("take").to_pylist())
             row, start, end = snippets.removed(snippets.earlier())
             yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(tie[row]), pa.array(start), pa.array(end)], schema=_SPAN)
+        give_back()
 
     left = looked.filter("`end` is null").select("g", "x", "doc_id", "tie", "off", "take", "data")
     last = left.repartition("g", "x").sortWithinPartitions("g", "x").mapInArrow(last_look, "doc_id long, tie long, start long, `end` long")
     found = copies.unionAll(looked.filter("`end` is not null").selectExpr("doc_id", "tie", "off as start", "`end`")).unionAll(last)
     spans = scratch.put(found.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     scratch.drop(shared, firsts, looked)
+    scratch.release()
     return spans
 
 
@@ -344,8 +346,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _cut(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, list[tuple[int, int]]]]:
     """Text, what stays of it and the merged spans, from the columns ``text`` and ``spans``."""
     spans = batch.column(batch.schema.get_field_index("spans"))
-    starts, ends = (spans.values.field(i).to_numpy().tolist() for i in range(2))
-    bounds = spans.offsets.to_numpy().tolist()
+    starts, ends = (x.to_numpy().tolist() for x in spans.flatten().flatten())
+    bounds = np.cumsum([0, *(n or 0 for n in pc.list_value_length(spans).to_pylist())]).tolist()
     there = spans.is_valid().to_pylist()
     for i, text in enumerate(text_bytes(batch.column(batch.schema.get_field_index("text")))):
         own = _merged(list(zip(starts[bounds[i] : bounds[i + 1]], ends[bounds[i] : bounds[i + 1]]))) if there[i] else []
@@ -358,7 +360,7 @@ def repeat_report(docs: DataFrame, length: int = 100) -> DataFrame:
     joined = _keyed(docs).join(repeated_spans(docs, length), ["doc_id", "tie"], "left")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = [(len(text), sum(b - a for a, b in own), len(own), hashlib.sha256(kept).hexdigest()) for text, kept, own in _cut(batch)]
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -373,10 +375,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     All columns stay as they are but ``text``. Bytes of characters that were
     cut in two go too. See ``repeated_spans`` for absent and repeated values.
     """
-    spans = repeated_spans(docs, length)
+    key, tie, where = (unused(docs, name) for name in ("_key", "_tie", "_spans"))
+    spans = repeated_spans(docs, length).select(F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("spans").alias(where))
     own = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(2147483647))
-    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_KEY)), "_tie": own})
-    joined = keyed.join(spans.selectExpr("doc_id as _key", "tie as _tie", "spans as _spans"), ["_key", "_tie"], "left")
+    keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_KEY)), tie: own})
+    joined = keyed.join(spans, [key, tie], "left")
 
     @F.pandas_udf("string")
     def kept(text, spans):
@@ -385,5 +388,5 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array([None if s is None else [(int(x["start"]), int(x["end"])) for x in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["text", "spans"])
         return pd.Series([left.decode("utf-8", "ignore") for _, left, _ in _cut(batch)])
 
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(kept("text", "_spans"))
-    return joined.withColumn("text", text).select(docs.columns)
+    text = F.when(F.col(where).isNull(), F.col("text")).otherwise(kept("text", where))
+    return joined.withColumn("text", text).select(own_columns(docs))
