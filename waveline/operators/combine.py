@@ -51,10 +51,8 @@ def repeat_rows(df: DataFrame, copies: str) -> DataFrame:
     pieces = df.withColumn(
         "_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(COPIES_PER_TASK).cast("long")))
     ).withColumn("_here", F.least(F.lit(COPIES_PER_TASK), F.col(copies) - F.col("_from")).cast("int"))
-    single = pieces.where("_here = 1").select(columns)
-    many = pieces.where("_here > 1").repartition("_from", *columns)
-    many = many.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_here")))).select(columns)
-    return single.unionByName(many)
+    # A piece is a bounded number of rows, so one task may hold several.
+    return pieces.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_here")))).select(columns)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

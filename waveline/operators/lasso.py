@@ -36,7 +36,6 @@ from waveline.sources.store import stored
 ALL_ROWS = -1
 LAMBDAS_PER_PASS = 10
 MAX_NEWTON = 40
-PATIENCE = 10
 MAX_ROUNDS = 200
 SWEEPS_PER_ROUND = 4
 # In units of the standard deviation of the response.
@@ -384,13 +383,19 @@ class PathPoint:
 
 
 def path(
-    m: EntityMoments, penalties: Sequence[float], alpha: float = 1.0, cross_validate: bool = True, stop_early: bool = True
+    m: EntityMoments,
+    penalties: Sequence[float],
+    alpha: float = 1.0,
+    cross_validate: bool = True,
+    stop_early: bool = False,
+    patience: int | None = None,
 ) -> list[PathPoint]:
     """Fits along decreasing penalties, with the error on left-out folds.
 
-    All folds and ``LAMBDAS_PER_PASS`` penalties share every pass. With
-    ``stop_early`` the path ends once a smaller penalty explains no more, or
-    the error on left-out folds has not improved for ``PATIENCE`` penalties.
+    All folds and ``LAMBDAS_PER_PASS`` penalties share every pass. The whole
+    path is fitted; ``stop_early`` ends it once a smaller penalty explains no
+    more, ``patience`` once the error on left-out folds has not improved for so
+    many penalties.
     """
     left_out = [ALL_ROWS, *sorted(m.products)] if cross_validate else [ALL_ROWS]
     everything = m.training(ALL_ROWS)
@@ -412,9 +417,9 @@ def path(
             out.append(PathPoint(penalty, theta[ALL_ROWS], explained, error, all(p.done for p in fits.values())))
             if stop_early and len(out) >= 5 and (explained > 0.999 or gain < 1e-5 * explained):
                 return out
-        if cross_validate and stop_early:
+        if cross_validate and patience is not None:
             best = min(range(len(out)), key=lambda i: out[i].cv_mse)
-            if len(out) - 1 - best >= PATIENCE:
+            if len(out) - 1 - best >= patience:
                 break
     return out
 

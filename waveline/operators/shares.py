@@ -17,13 +17,14 @@ def group_counts(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFra
 def complete_grid(counts: DataFrame, keys: Sequence[str], value: str = "n", fill: int = 0) -> DataFrame:
     """A row for every combination of the observed key values.
 
-    ``counts`` is an aggregated table of factor levels. The level lists are
-    gathered in one aggregate row and unfolded key by key.
+    ``counts`` is an aggregated table of factor levels. Each further key's list
+    of levels is a scalar that unfolds beside the grid so far, in the tasks
+    that hold the grid.
     """
-    levels = counts.agg(*[F.collect_set(F.struct(k)).alias(k) for k in keys])
-    grid = levels
-    for k in keys:
-        grid = grid.withColumn(k, F.explode(k)).withColumn(k, F.col(k)[k])
+    grid = counts.select(keys[0]).distinct()
+    for k in keys[1:]:
+        levels = counts.agg(F.collect_set(F.struct(k))).scalar()
+        grid = grid.withColumn(k, F.explode(levels)).withColumn(k, F.col(k)[k])
     c = counts.alias("c")
     same = [F.col(f"g.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
     return grid.alias("g").join(c, same, "left").select(

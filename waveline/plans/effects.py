@@ -66,16 +66,17 @@ def polynomial_trend(df: DataFrame, by: str, x: str, y: str, degree: int) -> Dat
 
 def pure_power_trend(df: DataFrame, by: str, x: str, y: str, powers: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
     """One straight-line fit on each power of a column, per group."""
-    degree = max(powers)
-    full = with_powers(df.select(by, y, x), x, degree)
-    out = None
-    for p in powers:
-        design = Design.of([f"{x}_{p}"])
-        fits = ols.fit_by(full, design, y, by)
-        rows = [(g, p, f.coefficients()[0][1], f.coefficients()[1][1]) for g, f in fits.items()]
-        table = df.sparkSession.createDataFrame(rows, f"{by} string, power int, intercept double, slope double")
-        out = table if out is None else out.union(table)
-    return out
+    full = with_powers(df.select(by, y, x), x, max(powers))
+    names = [f"{x}_{p}" for p in powers]
+    # One pass has the products of all powers; each line reads its own.
+    products = collect_matrices(cross_products(full, Design.of(names), y, by))
+    rows = []
+    for i, p in enumerate(powers):
+        pick = [0, 1 + i, 1 + len(powers)]
+        for g, m in sorted(products.items()):
+            c = ols.solve(m[pick][:, pick], ["(Intercept)", names[i]]).coefficients()
+            rows.append((g, p, c[0][1], c[1][1]))
+    return df.sparkSession.createDataFrame(rows, f"{by} string, power int, intercept double, slope double")
 
 
 def _degree_terms(x: str, degree: int) -> list:
