@@ -26,13 +26,17 @@ def crossed(*names: str) -> list[Term]:
     return [t for size in range(1, len(names) + 1) for t in combinations(names, size)]
 
 
-def factor_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
-    """Sorted levels of each factor; the first one is the contrast base."""
+def factor_levels(df: DataFrame, columns: Sequence[str], max_levels: int = MAX_LEVELS) -> dict[str, list]:
+    """Sorted levels of each factor; the first one is the contrast base.
+
+    Each level is a column of the design, whose products the driver holds, so
+    more than ``max_levels`` are refused; nothing is left out.
+    """
     out = {}
     for c in columns:
-        found = df.select(c).where(F.col(c).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; fit it as an entity effect")
+        found = df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_levels + 1).collect()
+        if len(found) > max_levels:
+            raise ValueError(f"{c} has more than {max_levels} levels; fit it as an entity effect")
         out[c] = sorted(row[0] for row in found)
     return out
 

@@ -23,7 +23,7 @@ from waveline.sources.store import stored
 
 BLOCK = "_block"
 ROWS_PER_BLOCK = 2_000_000
-MAX_BLOCKS = 50_000
+BLOCKS_PER_CORE = 3
 SAMPLE_PER_BLOCK = 30
 
 
@@ -48,7 +48,8 @@ def _key_type(df: DataFrame, columns: Sequence[str]) -> T.StructType:
 
 def _block_count(df: DataFrame, rows: int) -> int:
     by_size = math.ceil(rows / ROWS_PER_BLOCK)
-    return max(1, min(MAX_BLOCKS, max(by_size, df.sparkSession.sparkContext.defaultParallelism)))
+    # Several blocks a core, as blocks are hashed to tasks.
+    return max(1, by_size, BLOCKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _borders(df: DataFrame, columns: Sequence[str], rows: int, n: int) -> list[str]:
