@@ -24,6 +24,7 @@ from waveline.llm.levenshtein import NEAR_STEM, NEAR_WORD, LexiconAutomaton, Ter
 
 #: Labelled texts that the lexicon and the weights are learnt from at most.
 SAMPLE = 16_000
+MARGIN = 4
 #: Letters of stems that are tried, terms that are kept at most, and the chance, over all terms
 #: tried, that one is kept whose texts are toxic without cause.
 STEM_LETTERS = range(4, 9)
@@ -191,6 +192,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _smallest(marked: DataFrame, sample: int) -> DataFrame:
+    """The ``sample`` rows with the smallest hashed ids.
+
+    Only rows below a share that leaves about ``MARGIN`` times as many are
+    sorted, so that the sort does not grow with the input.
+    """
+    draw = F.xxhash64("doc_id")
+    share = min(1.0, MARGIN * sample / max(1, marked.count()))
+    return marked.filter(draw / 2.0**64 + 0.5 <= share).orderBy(draw, "doc_id").limit(sample)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from (doc_id, text) and (doc_id, toxic), learnt from ``sample`` labelled rows at most.
 
@@ -200,10 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     tell. Without any toxic text the lexicon is empty.
     """
     scratch = Scratch(docs.sparkSession)
-    marked = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    drawn = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    marked = scratch.put(labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")))
+    drawn = _smallest(marked, sample)
     # The size of the sample is bounded, so the documents stay where they are.
     learnt = scratch.put(id_and_text(docs).join(F.broadcast(drawn), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic"))
+    scratch.drop(marked)
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 3)))
     apart = learnt.withColumn("w", words).withColumn("sign", F.array_min(shingles)).drop("w").dropDuplicates(["sign", "toxic"])
