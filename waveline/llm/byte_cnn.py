@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waveline.llm.common import id_and_text, in_parts, own_columns, text_bytes
+from waveline.llm.common import give_back, id_and_text, in_parts, own_columns, text_bytes
+from waveline.sources.store import stored
 
 #: Bytes of a window, sizes of the network.
 WINDOW = 128
@@ -25,12 +26,13 @@ FILTERS = 24
 #: Documents of a language that the network learns from at most, and crops of each.
 PER_LANGUAGE = 2_000
 CROPS = 3
+MARGIN = 4
 EPOCHS = 3
 MIN_STEPS = 300
 BATCH = 128
 RATE = 0.01
 #: Windows that are convolved at once.
-AT_ONCE = 1_024
+AT_ONCE = 512
 UNKNOWN = "und"
 
 
@@ -136,13 +138,21 @@ def crops(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(lang, crop): places all over the texts of ``per_language`` documents of each language at most.
 
     The documents are those with the smallest hashed ids, so the same at any
-    partitioning; rows without id, text or language teach nothing. Only crops
-    are moved.
+    partitioning; rows without id, text or language teach nothing. Of a
+    language with many documents only those with a hash below a share that
+    leaves about ``MARGIN`` times the sample are compared, so that what meets
+    in a task does not grow with the input. Only crops are moved.
     """
     known = docs.filter("doc_id is not null and text is not null and lang is not null").withColumn("text", F.lower("text"))
+    known = known.withColumn("draw", F.xxhash64("doc_id", F.xxhash64("text")))
+    # A row for each language, as many as the network has answers.
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if sizes:
+        share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, MARGIN * per_language / n))])
+        known = known.filter(F.col("draw") / 2.0**64 + 0.5 <= F.element_at(share, F.col("lang")))
     pieces = known.select(
         "lang",
-        F.xxhash64("doc_id", F.xxhash64("text")).alias("draw"),
+        "draw",
         F.array(
             *[
                 F.expr(f"substring(text, cast(pmod(xxhash64(doc_id, {k}), greatest(length(text) - {WINDOW // 2}, 1)) as int) + 1, {WINDOW})")
@@ -205,6 +215,7 @@ def identify(docs: DataFrame, model: ByteCNN) -> DataFrame:
             else:
                 pred, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+        give_back()
 
     rows = id_and_text(docs).select("doc_id", F.lower("text").alias("text"), has_letter(F.col("text")).alias("lettered"))
     return rows.mapInArrow(of, "doc_id long, lang_pred string, score double")
@@ -223,7 +234,8 @@ def keep_identified(docs: DataFrame, model: ByteCNN, least: float = LEAST) -> Da
 
     Rows that share a doc_id go only if all of them are rejected.
     """
-    found = identify(docs, model)
+    # Written, as it is read twice.
+    found = stored(identify(docs, model))
     kept = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc_id").distinct()
     gone = found.select("doc_id").join(kept, "doc_id", "left_anti").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(own_columns(docs))

@@ -6,7 +6,7 @@ import ctypes
 import gc
 import zlib
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, suppress
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """The two columns that operators on texts use; others never get in the way."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -76,16 +77,15 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-@contextmanager
-def short_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Arrow batches of ``rows`` rows at most, so that batches of long texts stay small on both sides."""
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hold Arrow batches of the session to ``rows`` rows, where they are larger.
+
+    A batch is in memory on both sides of a Python worker, so batches of
+    thousands of long texts take more than the work on them.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
 class Scratch:
@@ -102,8 +102,7 @@ class Scratch:
 
     def put(self, df: DataFrame) -> DataFrame:
         self.release()
-        with short_batches(self.spark):
-            kept = StoredTable.write(df)
+        kept = StoredTable.write(df)
         out = kept.read(self.spark)
         self._paths[id(out)] = kept.path
         return out

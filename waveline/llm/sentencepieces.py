@@ -17,14 +17,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waveline.llm.common import Numbers, id_and_text, text_bytes
+from waveline.llm.common import Numbers, give_back, id_and_text, text_bytes
 
 MARK = "▁"
 #: Stands for a marker in the text itself; no decoded text holds a lone high surrogate.
 LITERAL = "\ud800"
 #: Words whose pieces a Python worker remembers, and bytes of text that it cuts at once.
-REMEMBERED = 300_000
-PART = 4_000_000
+REMEMBERED = 150_000
+PART = 2_000_000
 
 _SLOW = re.compile(f"{MARK}|\n| *[^ \n{MARK}]+| +")
 
@@ -319,6 +319,7 @@ def encode(docs: DataFrame, pieces: Broadcast) -> DataFrame:
                 starts = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(starts, pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
                 yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+        give_back()
 
     return id_and_text(docs).mapInArrow(of, "doc_id long, ids array<int>")
 
@@ -335,6 +336,7 @@ def decode(encoded: DataFrame, pieces: Broadcast) -> DataFrame:
             texts = [own.decode(flat[a:b]) if ok else b"" for a, b, ok in zip(ends[:-1], ends[1:], there)]
             plain = pa.array([x.decode("utf-8", "replace") for x in texts], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, plain], names=["doc_id", "ids", "text"])
+        give_back()
 
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(of, "doc_id long, ids array<int>, text string")
 
@@ -362,5 +364,6 @@ def digests(encoded: DataFrame, pieces: Broadcast) -> DataFrame:
                 ],
                 names=["doc_id", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256"],
             )
+        give_back()
 
     return encoded.mapInArrow(of, "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waveline.llm.common import Scratch, id_and_text, own_columns, text_bytes, whole_groups
+from waveline.llm.common import Scratch, give_back, id_and_text, own_columns, text_bytes, whole_groups
 from waveline.llm.components import components
 
 BITS = 64
@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame
         for batch in batches:
             found = [fingerprint(x, shingle, seed) for x in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+        give_back()
 
     return id_and_text(docs).mapInArrow(of, "doc_id long, fp long")
 
@@ -191,6 +192,7 @@ def near_links(fps: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
             if use.any():
                 u, v = bucket_links(group[use], side[use].astype(np.int64), np.ascontiguousarray(fp[use]), radius)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+        give_back()
 
     return met.mapInArrow(compare, "u long, v long")
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waveline.llm.common import Scratch, give_back, in_parts, own_columns, text_bytes, unused, whole_groups
+from waveline.llm.common import Scratch, bounded_batches, give_back, in_parts, own_columns, text_bytes, unused, whole_groups
 
 #: Bytes of an anchor, or half of a shorter ``length``.
 ANCHOR = 32
@@ -202,6 +202,7 @@ _EDGES = "g long, x int, doc_id long, tie long, off long, take binary, data bina
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """Documents with the two columns that name one: its id, and a hash of its text in case ids repeat."""
+    bounded_batches(docs.sparkSession)
     return docs.selectExpr(
         f"coalesce(cast(doc_id as long), {NO_KEY + 1}L - 1L) as doc_id", "xxhash64(cast(text as string)) & 2147483647L as tie", "cast(text as string) as text"
     )
@@ -364,6 +365,7 @@ def repeat_report(docs: DataFrame, length: int = 100) -> DataFrame:
             rows = [(len(text), sum(b - a for a, b in own), len(own), hashlib.sha256(kept).hexdigest()) for text, kept, own in _cut(batch)]
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        give_back()
 
     report = joined.select("doc_id", "text", "spans").mapInArrow(of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return report.withColumn("doc_id", F.expr(f"nullif(doc_id, {NO_KEY + 1}L - 1L)"))
