@@ -18,7 +18,7 @@ from waveline.llm.common import crc_fold, own_columns, table
 from waveline.llm.decontaminate import drop_leaks
 from waveline.llm.op5 import FOLDS, HELD_OUT
 from waveline.llm.op10 import vocabulary
-from waveline.llm.sentencepieces import decode, encode, share_pieces
+from waveline.llm.sentencepieces import encode_and_decode, share_pieces
 from waveline.llm.simhash import drop_near_duplicates
 from waveline.llm.suffix_repeats import remove_repeats
 from waveline.sources.store import stored
@@ -48,8 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, ids, text) of what is left; the text is what the ids say."""
-    shared = share_pieces(docs, vocabulary())
-    return decode(encode(docs, shared), shared)
+    return encode_and_decode(docs, share_pieces(docs, vocabulary()))
 
 
 STAGES = [

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from waveline.llm.sentencepieces import MARK, DoubleArray, Pieces, decode, digests, encode, share_pieces
+from waveline.llm.sentencepieces import MARK, DoubleArray, Pieces, decode, digests, encode, encode_and_decode, share_pieces
 
 BYTES = [(f"<0x{b:02X}>", 0.0, "byte") for b in range(256)]
 
@@ -87,5 +87,7 @@ def test_frames(spark):
     pieces = share_pieces(docs, str(public.path("piece_bpe_32k.model")))
     encoded = encode(docs, pieces)
     assert sorted(map(str, ((r.doc_id, r.text) for r in decode(encoded, pieces).collect()))) == sorted(map(str, ((d, t or "") for d, t in rows)))
+    both = sorted(map(str, encode_and_decode(docs, pieces).collect()))
+    assert both == sorted(map(str, decode(encoded, pieces).collect()))
     assert {r.decoded_sha256 for r in digests(encoded, pieces).collect()} == {hashlib.sha256((t or "").encode()).hexdigest() for _, t in rows}
     assert encode(docs.limit(0), pieces).count() == 0

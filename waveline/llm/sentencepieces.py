@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waveline.llm.common import Numbers, give_back, id_and_text, text_bytes
+from waveline.llm.common import Numbers, give_back, id_and_text, in_parts, text_bytes
 
 MARK = "▁"
 #: Stands for a marker in the text itself; no decoded text holds a lone high surrogate.
@@ -341,6 +341,22 @@ def decode(encoded: DataFrame, pieces: Broadcast) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(of, "doc_id long, ids array<int>, text string")
 
 
+def encode_and_decode(docs: DataFrame, pieces: Broadcast) -> DataFrame:
+    """(doc_id, ids, text) of whole texts, as ``decode`` of ``encode`` gives them, by one Python worker a task."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pieces.value
+        for batch in in_parts(batches):
+            found = own.encode([b.decode("utf-8", "surrogateescape") for b in text_bytes(batch.column(1))])
+            starts = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(starts, pa.array(np.concatenate([*found, np.zeros(0, np.int32)])))
+            plain = pa.array([own.decode(x).decode("utf-8", "replace") for x in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, plain], names=["doc_id", "ids", "text"])
+        give_back()
+
+    return id_and_text(docs).mapInArrow(of, "doc_id long, ids array<int>, text string")
+
+
 def digests(encoded: DataFrame, pieces: Broadcast) -> DataFrame:
     """(doc_id, n_pieces, n_byte_pieces, ids_crc32, decoded_sha256) of encoded texts, read from their ids alone."""
     import hashlib

@@ -27,9 +27,9 @@ from waveline.llm.common import Scratch, bounded_batches, give_back, in_parts, o
 #: Bytes of an anchor, or half of a shorter ``length``.
 ANCHOR = 32
 #: Positions hashed at once, runs and bytes that a task looks at together.
-SLAB = 1 << 18
-RUNS = 1 << 18
-SUFFIX_BYTES = 1 << 20
+SLAB = 1 << 17
+RUNS = 1 << 17
+SUFFIX_BYTES = 1 << 19
 #: Runs that one suffix array takes from an anchor; an anchor with more
 #: different runs deals its strings out by their content.
 PER_ARRAY = 8_192
