@@ -82,7 +82,7 @@ def test_texts_as_a_whole_and_word_by_word_agree():
 
 def test_frames(spark):
     public = pytest.importorskip("public_tokenizers")
-    rows = [(1, "hello  world\n" + MARK), (2, ""), (3, None), (1, "hello  world\n" + MARK), (None, "x" * 100_000)]
+    rows = [(1, "hello  world\n" + MARK), (2, ""), (3, None), (1, "hello  world\n" + MARK), (None, "x" * 10_000 + " word" * 20_000)]
     docs = spark.createDataFrame([(*r, [1]) for r in rows], "doc_id long, text string, ids array<int>")
     pieces = share_pieces(docs, str(public.path("piece_bpe_32k.model")))
     encoded = encode(docs, pieces)
