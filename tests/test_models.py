@@ -16,6 +16,7 @@ from waveline.operators.distribution import density, histogram
 from waveline.operators.kmeans import WEIGHT, best_runs, counted_points, fit_runs, inertia, nearest_centre
 from waveline.operators.scale import z_scores
 from waveline.operators.silhouette import mean_silhouettes, silhouettes
+from waveline.plans import forecast
 from waveline.plans.effects import degree_sweep, polynomial_trend
 
 
@@ -193,6 +194,13 @@ def test_all_effects_vanish_at_the_largest_penalty(spark):
     assert len(lasso.default_penalties(m, 20)) == 20
 
 
+def test_ridge_fits_every_penalty_where_the_error_only_grows(spark, monkeypatch):
+    pdf = lasso_frame().assign(y=np.random.default_rng(3).normal(0, 1, len(lasso_frame())))
+    m = lasso.entity_moments(spark.createDataFrame(pdf).repartition(2), Design.of(["u", "v", "w"]), "y", "p", 0, "fold", 4)
+    monkeypatch.setattr(forecast, "forecast_moments", lambda features: m)
+    assert len(forecast.fit_forecast(None, 0.0).points) == 100
+
+
 @pytest.fixture(scope="module")
 def blobs(spark):
     rng = np.random.default_rng(0)
