@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from waveline.llm import chat, decontaminate, licenses, quality
-from waveline.llm.license_texts import TEXTS
+from waveline.llm.license_texts import NAMES, TEXTS, long_texts
 
 
 def covered_words(text):
@@ -105,6 +106,21 @@ def test_licences(spark):
     assert licenses.scan(docs.limit(0), licenses.known_digests(spark)).count() == 0
 
 
+def test_long_licences_and_addresses(spark):
+    gpl = (Path(licenses.__file__).parent / "licences" / "GPL-3.0.txt").read_text()
+    apache = (Path(licenses.__file__).parent / "licences" / "Apache-2.0.txt").read_text()
+    unwrapped = re.sub(r"(?<=[a-z,;])\n +(?=[a-zA-Z])", " ", apache)
+    rows = [
+        (1, gpl), (2, gpl[: gpl.index("How to Apply")].upper()), (3, apache.replace("[yyyy] [name", "2020 [name")), (4, unwrapped), (5, gpl + "\nmore"),
+        (6, "SPDX-License-Identifier: GPL-2.0-or-later\n// SPDX-License-Identifier: LGPL-3.0-only\nLicensed under http://creativecommons.org/licenses/by-sa/4.0/"),
+    ]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_digests(spark)).collect()}
+    assert [found[i].licence for i in range(1, 6)] == ["GPL-3.0", "GPL-3.0", "Apache-2.0", "Apache-2.0", None]
+    assert found[6].notices == ["CC-BY-SA-4.0", "GPL-2.0", "LGPL-3.0"]
+    known = {licence for licence, _ in TEXTS + long_texts()}
+    assert set(NAMES) - known == {"AGPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "EPL-2.0"}
+
+
 def best_overlap(a, b):
     """Best score over all offsets at which a seed meets its like."""
     best = 0

@@ -1,10 +1,14 @@
 """Known licence texts and notices.
 
-Full texts are fixed values; notices are made by a rule from names and phrases.
+Full texts are fixed values, the long ones files of the folder ``licences``;
+notices are made by a rule from names, addresses and phrases.
 """
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 #: Identifiers and the names that notices use for them (fixed values).
 NAMES = {
     "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD License"],
@@ -31,6 +35,29 @@ NAMES = {
     "Zlib": ["zlib License"],
 }
 
+#: SPDX identifiers that say whether later versions are meant too (rule).
+NAMES |= {k: [*v, f"{k}-only", f"{k}-or-later"] for k, v in NAMES.items() if "GPL-" in k}
+
+#: Addresses of licences (fixed values).
+URLS = {
+    "AGPL-3.0": ["https://www.gnu.org/licenses/agpl-3.0.html", "https://www.gnu.org/licenses/agpl-3.0.en.html", "https://www.gnu.org/licenses/agpl-3.0.txt"],
+    "Apache-2.0": ["https://www.apache.org/licenses/LICENSE-2.0", "https://www.apache.org/licenses/LICENSE-2.0.html", "https://www.apache.org/licenses/LICENSE-2.0.txt"],
+    "BSL-1.0": ["https://www.boost.org/LICENSE_1_0.txt"],
+    "CC-BY-4.0": ["https://creativecommons.org/licenses/by/4.0/", "https://creativecommons.org/licenses/by/4.0/legalcode"],
+    "CC-BY-NC-4.0": ["https://creativecommons.org/licenses/by-nc/4.0/", "https://creativecommons.org/licenses/by-nc/4.0/legalcode"],
+    "CC-BY-ND-4.0": ["https://creativecommons.org/licenses/by-nd/4.0/", "https://creativecommons.org/licenses/by-nd/4.0/legalcode"],
+    "CC-BY-SA-4.0": ["https://creativecommons.org/licenses/by-sa/4.0/", "https://creativecommons.org/licenses/by-sa/4.0/legalcode"],
+    "CC0-1.0": ["https://creativecommons.org/publicdomain/zero/1.0/", "https://creativecommons.org/publicdomain/zero/1.0/legalcode"],
+    "EPL-2.0": ["https://www.eclipse.org/legal/epl-2.0/", "https://www.eclipse.org/legal/epl-v20.html"],
+    "GPL-2.0": ["https://www.gnu.org/licenses/old-licenses/gpl-2.0.html", "https://www.gnu.org/licenses/old-licenses/gpl-2.0.txt"],
+    "GPL-3.0": ["https://www.gnu.org/licenses/gpl-3.0.html", "https://www.gnu.org/licenses/gpl-3.0.en.html", "https://www.gnu.org/licenses/gpl-3.0.txt"],
+    "LGPL-2.1": ["https://www.gnu.org/licenses/old-licenses/lgpl-2.1.html", "https://www.gnu.org/licenses/old-licenses/lgpl-2.1.txt"],
+    "LGPL-3.0": ["https://www.gnu.org/licenses/lgpl-3.0.html", "https://www.gnu.org/licenses/lgpl-3.0.txt"],
+    "MIT": ["https://opensource.org/licenses/MIT", "https://opensource.org/license/mit"],
+    "MPL-2.0": ["https://mozilla.org/MPL/2.0/", "https://www.mozilla.org/MPL/2.0/"],
+    "Unlicense": ["https://unlicense.org/"],
+}
+
 #: Sentences that name a licence (fixed values).
 PHRASES = [
     "Licensed under {}",
@@ -115,7 +142,34 @@ TEXTS = [
 ]
 
 
+#: Where the advice behind the terms begins, which many copies leave out.
+_ENDS = re.compile(r"\n[ \t]*(APPENDIX: How to apply|How to Apply These Terms)")
+#: Lines that stay lines where a paragraph is written as one line.
+_OWN_LINE = re.compile(r"(?i)[ \t]*copyright (\(c\)|\[)")
+
+
+def _one_line_paragraphs(text: str) -> str:
+    out = []
+    for line in text.split("\n"):
+        if out and out[-1].strip() and line.strip() and not (_OWN_LINE.match(line) or _OWN_LINE.match(out[-1])):
+            out[-1] += " " + line.strip()
+        else:
+            out.append(line)
+    return "\n".join(out)
+
+
+def long_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the files, whole and without the advice at the end, wrapped and not."""
+    out = []
+    for file in sorted(files("waveline.llm").joinpath("licences").iterdir(), key=lambda f: f.name):
+        whole = file.read_text(encoding="utf-8")
+        for text in dict.fromkeys([whole, _ENDS.split(whole)[0]]):
+            out += [(file.name.removesuffix(".txt"), form) for form in (text, _one_line_paragraphs(text))]
+    return out
+
+
 def known_texts() -> list[tuple[str, str]]:
-    """(licence, text) of full texts, and of a notice for each phrase and name."""
+    """(licence, text) of full texts, and of a notice for each phrase and name; an address alone is a notice too."""
     notices = [(licence, phrase.format(name)) for licence, names in NAMES.items() for phrase in PHRASES for name in [licence, *names]]
-    return TEXTS + notices
+    addresses = [(licence, phrase.format(url)) for licence, urls in URLS.items() for phrase in ["{}", *PHRASES] for url in urls]
+    return TEXTS + long_texts() + notices + addresses
