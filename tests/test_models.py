@@ -16,8 +16,9 @@ from waveline.operators.distribution import density, histogram
 from waveline.operators.kmeans import WEIGHT, best_runs, counted_points, fit_runs, inertia, nearest_centre
 from waveline.operators.scale import z_scores
 from waveline.operators.silhouette import mean_silhouettes, silhouettes
+from waveline.operators.split import split_rows
 from waveline.plans import forecast
-from waveline.plans.effects import degree_sweep, polynomial_trend
+from waveline.plans.effects import BASE_ITEMS, degree_sweep, degree_sweeps, polynomial_trend
 
 
 def random_frame(seed=1, n=120):
@@ -293,6 +294,31 @@ def test_degree_sweep_train_error_never_rises(spark):
     assert np.all(np.diff(table.train_rmse) <= 1e-6) and len(table) == 5 and (table.test_rmse > 0).all()
 
 
+def test_degree_sweep_has_the_items_and_equals_numpy(spark):
+    rng = np.random.default_rng(4)
+    n = 900
+    pdf = pd.DataFrame({"AssessmentID": np.arange(n), "TreatmentWeek": rng.integers(0, 12, n)})
+    pdf["TxGroup"] = rng.choice(["Control", "Treatment"], n)
+    pdf["Country"] = rng.choice(["A", "B", "C"], n)
+    for c in BASE_ITEMS:
+        pdf[c] = rng.integers(1, 8, n)
+    pdf["BaselinePANSS_Total"] = pdf[BASE_ITEMS].sum(axis=1)
+    pdf["PANSS_Total"] = pdf.BaselinePANSS_Total - pdf.TreatmentWeek * pdf.BaselineP1 + 4 * (pdf.Country == "B") + rng.normal(0, 1, n)
+    df = spark.createDataFrame(pdf)
+    found = degree_sweeps(df, 2).where("degree = 2").toPandas().set_index("model")
+    drawn = {r[0] for r in split_rows(df, "AssessmentID", 0.5)[0].select("AssessmentID").collect()}
+    week, treated = pdf.TreatmentWeek.to_numpy(dtype=float) / 11, (pdf.TxGroup == "Treatment").to_numpy(dtype=float)
+    items = pdf[BASE_ITEMS].to_numpy(dtype=float)
+    sides = np.column_stack([np.ones(n), items, treated])
+    x = np.column_stack([sides, pdf.Country == "B", pdf.Country == "C", items * treated[:, None], *(sides * week[:, None] ** d for d in (1, 2))]).astype(float)
+    train = pdf.AssessmentID.isin(drawn).to_numpy()
+    beta = np.linalg.lstsq(x[train], pdf.PANSS_Total[train], rcond=None)[0]
+    left = pdf.PANSS_Total - x @ beta
+    assert math.isclose(found.train_rmse["items"], (left[train] ** 2).mean() ** 0.5, rel_tol=1e-5)
+    assert math.isclose(found.test_rmse["items"], (left[~train] ** 2).mean() ** 0.5, rel_tol=1e-5)
+    assert found.test_rmse["items"] < found.test_rmse["total"]
+
+
 def test_pass_model_equals_plain_numpy_on_the_panel(spark):
     """The factorial without flags, refitted on rows that DuckDB derives."""
     import duckdb

@@ -16,7 +16,7 @@ from waveline.operators.lasso import entity_effects, path, rmse
 from waveline.operators.moments import cross_products, product_table
 from waveline.operators.split import split_rows
 from waveline.plans.effects import (
-    degree_sweep,
+    degree_sweeps,
     effect_comparison,
     effect_design,
     effect_models,
@@ -229,7 +229,7 @@ def curve_values(spark, sf_dir):
 
 @query("m23_degree_sweep")
 def degrees(spark, sf_dir):
-    return degree_sweep(features(spark, sf_dir).where("Study = 'E'"))
+    return degree_sweeps(features(spark, sf_dir).where("Study = 'E'"))
 
 
 _GIVEN = {"P1": -0.3, "N1": 0.2, "CompositeScore": 0.05}

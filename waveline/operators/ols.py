@@ -84,7 +84,9 @@ def solve(products: np.ndarray, names: Sequence[str]) -> LinearFit:
     m = mean[1:-1][kept]
     beta = np.concatenate([[mean[-1] - m @ slope], slope])
     rows = int(round(n))
-    sigma2 = rss / (rows - len(kept) - 1)
+    left = rows - len(kept) - 1
+    # A fit with no rows left over has no error estimate.
+    sigma2 = rss / left if left > 0 else math.nan
     errors = np.sqrt(sigma2 * np.concatenate([[1 / n + m @ inverse @ m], np.diag(inverse)]))
     return LinearFit(list(names), [0, *[k + 1 for k in kept]], beta, errors, rss, tss, rows)
 

@@ -12,7 +12,7 @@ from waveline.operators import ols
 from waveline.operators.design import Design, crossed, factor_levels, numeric_shift
 from waveline.operators.moments import collect_matrices, cross_products
 from waveline.operators.split import split_rows
-from waveline.sources.panel_csv import SCORE
+from waveline.sources.panel_csv import ITEMS, SCORE
 
 EFFECT_TERMS = {
     "study_group_baseline": crossed("Study", "TxGroup", "BaselinePANSS"),
@@ -79,35 +79,48 @@ def pure_power_trend(df: DataFrame, by: str, x: str, y: str, powers: Sequence[in
     return df.sparkSession.createDataFrame(rows, f"{by} string, power int, intercept double, slope double")
 
 
-def _degree_terms(x: str, degree: int) -> list:
+BASE_TOTAL = f"Baseline{SCORE}"
+BASE_ITEMS = [f"Baseline{c}" for c in ITEMS]
+
+
+def _degree_terms(x: str, degree: int, bases: Sequence[str], factors: Sequence[str]) -> list:
     powers = [f"{x}_{d}" for d in range(1, degree + 1)]
-    terms = [*powers, "BaselinePANSS_Total", "TxGroup", ("TxGroup", "BaselinePANSS_Total")]
+    terms = [*factors, *powers, *bases, "TxGroup", *(("TxGroup", b) for b in bases)]
     for p in powers:
-        terms += [(p, "BaselinePANSS_Total"), (p, "TxGroup")]
+        terms += [*((p, b) for b in bases), (p, "TxGroup")]
     return terms
 
 
-def degree_sweep(features: DataFrame, degrees: int = 10, share: float = 0.5) -> DataFrame:
+def degree_sweep(
+    features: DataFrame,
+    degrees: int = 10,
+    share: float = 0.5,
+    bases: Sequence[str] = (BASE_TOTAL,),
+    factors: Sequence[str] = (),
+) -> DataFrame:
     """Train and test RMSE of polynomial models in the visit number.
 
-    The products of the largest degree contain those of every smaller one, so
-    the train and the test part are each read once for the whole sweep.
+    The powers and the treatment are crossed with each of ``bases``;
+    ``factors`` are added as they are. The products of the largest degree
+    contain those of every smaller one, so the train and the test part are each
+    read once for the whole sweep.
     """
     x, y = "TreatmentWeek", SCORE
-    rows = features.select("AssessmentID", x, "TxGroup", "BaselinePANSS_Total", y)
+    rows = features.select("AssessmentID", x, "TxGroup", *bases, *factors, y)
     top = float(rows.agg(F.max(F.abs(x))).first()[0] or 1.0)
     rows = with_powers(rows.withColumn(x, F.col(x) / top), x, degrees)
-    levels = factor_levels(rows, ["TxGroup"])
-    shift = numeric_shift(rows, ["BaselinePANSS_Total"])
-    full = Design.of(_degree_terms(x, degrees), levels=levels, shift=shift)
+    levels = factor_levels(rows, ["TxGroup", *factors])
+    shift = numeric_shift(rows, bases)
+    full = Design.of(_degree_terms(x, degrees, bases, factors), levels=levels, shift=shift)
     train, test = split_rows(rows, "AssessmentID", share)
     parts = {
         name: collect_matrices(cross_products(part, full, y))[""] for name, part in (("train", train), ("test", test))
     }
+    places = {n: i for i, n in enumerate(full.names)}
     out = []
     for degree in range(1, degrees + 1):
-        names = Design.of(_degree_terms(x, degree), levels=levels, shift=shift).names
-        pick = [full.names.index(n) for n in names] + [len(full.names)]
+        names = Design.of(_degree_terms(x, degree, bases, factors), levels=levels, shift=shift).names
+        pick = [places[n] for n in names] + [len(places)]
         small = {name: m[pick][:, pick] for name, m in parts.items()}
         fitted = ols.solve(small["train"], names)
         weights = np.zeros(len(pick))
@@ -120,3 +133,10 @@ def degree_sweep(features: DataFrame, degrees: int = 10, share: float = 0.5) ->
             errors[name] = (max(float(weights @ m @ weights), 0.0) / m[0, 0]) ** 0.5
         out.append((degree, float(errors["train"]), float(errors["test"])))
     return features.sparkSession.createDataFrame(out, "degree int, train_rmse double, test_rmse double")
+
+
+def degree_sweeps(features: DataFrame, degrees: int = 10, share: float = 0.5) -> DataFrame:
+    """The sweep with country, baseline items and total, and the one with the total alone."""
+    wide = degree_sweep(features, degrees, share, [BASE_TOTAL, *BASE_ITEMS], ["Country"])
+    small = degree_sweep(features, degrees, share)
+    return wide.select(F.lit("items").alias("model"), "*").unionByName(small.select(F.lit("total").alias("model"), "*"))
