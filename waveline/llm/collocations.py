@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveline.llm.common import Scratch, in_parts, text_bytes
-from waveline.llm.count_automata import BITS, LONGEST, MOST_WORDS, CountAutomaton, Level, renamed, spelled, summed, united
+from waveline.llm.count_automata import BITS, LONGEST, MASK, MOST_WORDS, CountAutomaton, Level, renamed, spelled, summed, united
 
 #: Bytes of text to a range of prefixes, about.
 RANGE_BYTES = 4_000_000
@@ -106,12 +106,12 @@ class _Counts:
         for i, level in enumerate(self.levels):
             keys, counts = summed(level)
             keys = renamed(keys, i + 1, rank)
-            cell = first[keys >> BITS * i] + (second[keys >> BITS * (i - 1) & MOST_WORDS - 1] if i else 0)
+            cell = first[keys >> BITS * i] + (second[keys >> BITS * (i - 1) & MASK] if i else 0)
             order = np.lexsort((keys, cell))
             parts.append((cell[order], keys[order], counts[order]))
         for cell in np.unique(np.concatenate([p[0] for p in parts])).tolist():
             levels = [(p[1][slice(*np.searchsorted(p[0], [cell, cell + 1]))], p[2][slice(*np.searchsorted(p[0], [cell, cell + 1]))]) for p in parts]
-            used = np.unique(np.concatenate([keys >> BITS * j & MOST_WORDS - 1 for i, (keys, _) in enumerate(levels) for j in range(i + 1)]))
+            used = np.unique(np.concatenate([keys >> BITS * j & MASK for i, (keys, _) in enumerate(levels) for j in range(i + 1)]))
             local = np.zeros(int(used[-1]) + 1, np.int64)
             local[used] = np.arange(len(used))
             yield cell, CountAutomaton.build([names[w] for w in used.tolist()], [(renamed(keys, i + 1, local), n) for i, (keys, n) in enumerate(levels)])

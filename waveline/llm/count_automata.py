@@ -27,7 +27,8 @@ Level = tuple[np.ndarray, np.ndarray]
 
 def summed(parts: Iterable[Level]) -> Level:
     """One sorted level of the sum of several."""
-    parts = list(parts)
+    none = np.zeros(0, np.int64)
+    parts = [(none, none), *parts]
     keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     if not len(keys):
         return keys, counts
@@ -108,7 +109,7 @@ class CountAutomaton:
             at = np.minimum(np.searchsorted(owner, state << BITS | np.maximum(word, 0)), max(len(owner) - 1, 0))
             met = (word >= 0) & (owner[at] == (state << BITS | np.maximum(word, 0))) if len(owner) else np.zeros(len(phrases), bool)
             found[met & (length == i + 1)] = self.arcs["weight"][at[met & (length == i + 1)]]
-            state = np.where(met, self.arcs["next"][at], 0) if len(owner) else state
+            state = np.where(met, self.arcs["next"][at].astype(np.int64), 0) if len(owner) else state
         return found
 
     def to_bytes(self) -> tuple[bytes, bytes, bytes]:
