@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waveline.llm.common import Scratch, in_parts, text_bytes
-from waveline.llm.count_automata import BITS, LONGEST, MASK, MOST_WORDS, CountAutomaton, Level, renamed, spelled, summed, united
+from waveline.llm.common import Scratch, give_back, in_parts, text_bytes
+from waveline.llm.count_automata import BITS, LONGEST, MASK, MOST_WORDS, CountAutomaton, Level, add, renamed, spelled, summed, united
 
 #: Bytes of text to a range of prefixes, about.
-RANGE_BYTES = 4_000_000
+RANGE_BYTES = 2_000_000
 #: Phrases that a task holds before it writes them as automata.
-HELD = 3_000_000
+HELD = 1_000_000
 #: Bytes of text that are taken apart at a time.
 STEP = 1_000_000
 
@@ -84,11 +84,7 @@ class _Counts:
                 whole = whole[: len(ids) - i] & (ids[i:] >= _FIRST_WORD)
             new = max(known - i, 0)
             found, counts = np.unique(keys[new:][whole[new:]], return_counts=True)
-            level = self.levels[i]
-            level.append((found, counts))
-            # Merge runs of like size, so that each phrase is sorted again a few times only.
-            while len(level) > 1 and len(level[-2][0]) < 2 * len(level[-1][0]):
-                level[-2:] = [summed(level[-2:])]
+            add(self.levels[i], (found, counts))
 
     @property
     def size(self) -> int:
@@ -109,10 +105,10 @@ class _Counts:
             cell = first[keys >> BITS * i] + (second[keys >> BITS * (i - 1) & MASK] if i else 0)
             order = np.lexsort((keys, cell))
             parts.append((cell[order], keys[order], counts[order]))
+        local = np.zeros(len(names), np.int64)
         for cell in np.unique(np.concatenate([p[0] for p in parts])).tolist():
             levels = [(p[1][slice(*np.searchsorted(p[0], [cell, cell + 1]))], p[2][slice(*np.searchsorted(p[0], [cell, cell + 1]))]) for p in parts]
             used = np.unique(np.concatenate([keys >> BITS * j & MASK for i, (keys, _) in enumerate(levels) for j in range(i + 1)]))
-            local = np.zeros(int(used[-1]) + 1, np.int64)
             local[used] = np.arange(len(used))
             yield cell, CountAutomaton.build([names[w] for w in used.tolist()], [(renamed(keys, i + 1, local), n) for i, (keys, n) in enumerate(levels)])
 
@@ -135,8 +131,9 @@ def _shards(batches: Iterator[pa.RecordBatch], a: int, b: int) -> Iterator[pa.Re
             while sum(c.size for c in held.values()) > HELD:
                 lang = max(held, key=lambda x: held[x].size)
                 yield from written(lang, held.pop(lang))
-    for lang, counts in held.items():
-        yield from written(lang, counts)
+    while held:
+        yield from written(*held.popitem())
+    give_back()
 
 
 def _row(values: list, names: list[str]) -> pa.RecordBatch:
@@ -155,6 +152,7 @@ def _unite(shards: pa.Table, least: int) -> pa.Table:
     kept = [(keys[counts >= least], counts[counts >= least]) for keys, counts in levels]
     automaton = CountAutomaton.build(words, kept)
     row = [shards.column("lang")[0].as_py(), shards.column("cell")[0].as_py(), total, *automaton.to_bytes()]
+    give_back()
     return pa.Table.from_batches([_row(row, ["lang", "cell", "total", "words", "starts", "arcs"])])
 
 

@@ -38,6 +38,13 @@ def summed(parts: Iterable[Level]) -> Level:
     return keys[first], np.add.reduceat(counts, first)
 
 
+def add(runs: list[Level], run: Level) -> None:
+    """Append a run and merge runs of like size, so that a phrase is sorted again a few times only."""
+    runs.append(run)
+    while len(runs) > 1 and len(runs[-2][0]) < 2 * len(runs[-1][0]):
+        runs[-2:] = [summed(runs[-2:])]
+
+
 def renamed(keys: np.ndarray, words: int, names: np.ndarray) -> np.ndarray:
     """Phrases of ``words`` words under other numbers of the words."""
     out = np.zeros(len(keys), np.int64)
@@ -121,16 +128,22 @@ class CountAutomaton:
 
 
 def united(automata: Iterable[CountAutomaton]) -> tuple[list[bytes], list[Level]]:
-    """Words and phrases of all automata, counts of equal phrases added."""
-    automata = list(automata)
-    words = sorted(set().union(*(a.words for a in automata)))
-    number = {w: i for i, w in enumerate(words)}
+    """Words and phrases of all automata, counts of equal phrases added; one automaton is open at a time."""
+    number: dict[bytes, int] = {}
     held: list[list[Level]] = [[] for _ in range(LONGEST)]
     for automaton in automata:
-        names = np.fromiter((number[w] for w in automaton.words), np.int64, len(automaton.words))
+        names = np.fromiter((number.setdefault(w, len(number)) for w in automaton.words), np.int64, len(automaton.words))
         for i, (keys, counts) in enumerate(automaton.levels()):
-            held[i].append((renamed(keys, i + 1, names), counts))
-    return words, [summed(h) for h in held]
+            add(held[i], (renamed(keys, i + 1, names), counts))
+    words = sorted(number)
+    rank = np.zeros(len(words), np.int64)
+    rank[[number[w] for w in words]] = np.arange(len(words))
+    out = []
+    for i, runs in enumerate(held):
+        keys, counts = summed(runs)
+        runs.clear()
+        out.append(summed([(renamed(keys, i + 1, rank), counts)]))
+    return words, out
 
 
 def spelled(words: Sequence[bytes], keys: np.ndarray, length: int) -> list[bytes]:
