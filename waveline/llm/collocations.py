@@ -32,9 +32,9 @@ from waveline.llm.common import Scratch, give_back, in_parts, text_bytes
 from waveline.llm.count_automata import BITS, LONGEST, MASK, MOST_WORDS, CountAutomaton, Level, add, renamed, spelled, summed, united
 
 #: Bytes of text to a range of prefixes, about.
-RANGE_BYTES = 2_000_000
+RANGE_BYTES = 4_000_000
 #: Phrases that a task holds before it writes them as automata.
-HELD = 1_000_000
+HELD = 1_500_000
 #: Bytes of text that are taken apart at a time.
 STEP = 1_000_000
 
@@ -92,23 +92,24 @@ class _Counts:
 
     def automata(self, a: int, b: int) -> Iterator[tuple[int, CountAutomaton]]:
         """(range, automaton) of all phrases counted so far."""
-        words = sorted(self.number.items())
-        rank = np.zeros(len(words), np.int64)
-        rank[[i for _, i in words]] = np.arange(len(words))
-        names = [w for w, _ in words]
-        crc = np.fromiter((zlib.crc32(w) for w in names), np.int64, len(names))
+        names = list(self.number)
+        crc = np.fromiter(map(zlib.crc32, names), np.int64, len(names))
         first, second = (crc * a >> 32) * b, crc * b >> 32
-        parts = []
+        parts, cells = [], a * b
         for i, level in enumerate(self.levels):
             keys, counts = summed(level)
-            keys = renamed(keys, i + 1, rank)
             cell = first[keys >> BITS * i] + (second[keys >> BITS * (i - 1) & MASK] if i else 0)
-            order = np.lexsort((keys, cell))
-            parts.append((cell[order], keys[order], counts[order]))
-        local = np.zeros(len(names), np.int64)
-        for cell in np.unique(np.concatenate([p[0] for p in parts])).tolist():
-            levels = [(p[1][slice(*np.searchsorted(p[0], [cell, cell + 1]))], p[2][slice(*np.searchsorted(p[0], [cell, cell + 1]))]) for p in parts]
-            used = np.unique(np.concatenate([keys >> BITS * j & MASK for i, (keys, _) in enumerate(levels) for j in range(i + 1)]))
+            # The phrases stay sorted within a range.
+            order = np.argsort(cell.astype(np.uint16) if cells <= 1 << 16 else cell, kind="stable")
+            parts.append((np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=cells))]), keys[order], counts[order]))
+        local, used_here = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+        for cell in np.flatnonzero(sum(np.diff(p[0]) for p in parts)).tolist():
+            levels = [(keys[at[cell] : at[cell + 1]], counts[at[cell] : at[cell + 1]]) for at, keys, counts in parts]
+            for i, (keys, _) in enumerate(levels):
+                for j in range(i + 1):
+                    used_here[keys >> BITS * j & MASK] = True
+            used = np.flatnonzero(used_here)
+            used_here[used] = False
             local[used] = np.arange(len(used))
             yield cell, CountAutomaton.build([names[w] for w in used.tolist()], [(renamed(keys, i + 1, local), n) for i, (keys, n) in enumerate(levels)])
 

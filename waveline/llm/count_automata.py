@@ -5,7 +5,8 @@ word, the count of the phrase that ends there (0: no phrase ends there) and the
 next state. It is built from sorted phrases: the arcs behind a prefix are
 complete as soon as the next prefix begins, and a state with the same arcs as an
 earlier one is that state. Phrases are integers inside: ``BITS`` bits a word,
-the first word highest, so their order is that of the words.
+the first word highest, so their order is that of the words, whichever that is
+(tasks number words as they come).
 """
 
 from __future__ import annotations
@@ -53,6 +54,30 @@ def renamed(keys: np.ndarray, words: int, names: np.ndarray) -> np.ndarray:
     return out
 
 
+def _frozen(known: dict[bytes, int], arcs: np.ndarray, first: np.ndarray, whole: bytes, words: int) -> np.ndarray:
+    """The state of each run of arcs, in order; a run that is known already is that state."""
+    ends = np.append(first[1:], len(arcs))
+    states = np.zeros(len(first), np.int32)
+    # Most runs are one arc of count 1 to the end: such states are known by their word.
+    plain = (ends - first == 1) & (arcs["weight"][first] == 1) & (arcs["next"][first] == 0) if len(first) else np.zeros(0, bool)
+    by_word = np.full(words, -1, np.int32)
+    by_word[arcs["word"][first[plain]]] = 0
+    of_word = np.flatnonzero(by_word == 0)
+    alone = np.zeros(len(of_word), ARC)
+    alone["word"], alone["weight"] = of_word, 1
+    # setdefault sees the number of states before it adds one.
+    by_word[of_word] = [known.setdefault(a, len(known)) for a in _split(alone.tobytes(), range(0, (len(of_word) + 1) * ARC.itemsize, ARC.itemsize))]
+    states[plain] = by_word[arcs["word"][first[plain]]]
+    other = np.flatnonzero(~plain)
+    cuts = zip((first[other] * ARC.itemsize).tolist(), (ends[other] * ARC.itemsize).tolist(), strict=True)
+    states[other] = [known.setdefault(whole[a:b], len(known)) for a, b in cuts]
+    return states
+
+
+def _split(data: bytes, cuts: Sequence[int]) -> Iterable[bytes]:
+    return (data[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+
+
 @dataclass(frozen=True)
 class CountAutomaton:
     """States from 1 on are runs of arcs; state 0 has none. The last state is the root."""
@@ -63,7 +88,7 @@ class CountAutomaton:
 
     @classmethod
     def build(cls, words: Sequence[bytes], levels: Sequence[Level]) -> CountAutomaton:
-        """From sorted words and the phrases of 1, 2, ... of them."""
+        """From words in any fixed order and the phrases of 1, 2, ... of them, sorted in that order."""
         known: dict[bytes, int] = {b"": 0}
         keys, weights = levels[-1]
         targets = np.zeros(len(keys), np.int32)
@@ -75,15 +100,17 @@ class CountAutomaton:
                 break
             above = keys >> BITS
             first = np.flatnonzero(np.concatenate([[True], above[1:] != above[:-1]])) if len(above) else np.zeros(0, np.int64)
-            cuts = (first * ARC.itemsize).tolist()
-            cuts.append(len(whole))
-            # setdefault sees the number of states before it adds one.
-            states = [known.setdefault(whole[a:b], len(known)) for a, b in zip(cuts, cuts[1:], strict=False)]
-            prefixes, here = above[first], levels[length - 1]
-            keys = np.union1d(prefixes, here[0])
-            weights, targets = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
-            weights[np.searchsorted(keys, here[0])] = here[1]
-            targets[np.searchsorted(keys, prefixes)] = states
+            states = _frozen(known, arcs, first, whole, len(words))
+            prefixes, (keys, weights) = above[first], levels[length - 1]
+            at = np.searchsorted(keys, prefixes)
+            if not np.array_equal(keys[np.minimum(at, max(len(keys) - 1, 0))] if len(keys) else keys, prefixes):
+                known_keys, known_weights = keys, weights
+                keys = np.union1d(prefixes, known_keys)
+                weights = np.zeros(len(keys), np.int64)
+                weights[np.searchsorted(keys, known_keys)] = known_weights
+                at = np.searchsorted(keys, prefixes)
+            targets = np.zeros(len(keys), np.int32)
+            targets[at] = states
         frozen = [*known, whole]
         sizes = np.fromiter(map(len, frozen), np.int64, len(frozen)) // ARC.itemsize
         return cls(list(words), np.concatenate([[0], np.cumsum(sizes)]), np.frombuffer(b"".join(frozen), ARC))
@@ -135,15 +162,7 @@ def united(automata: Iterable[CountAutomaton]) -> tuple[list[bytes], list[Level]
         names = np.fromiter((number.setdefault(w, len(number)) for w in automaton.words), np.int64, len(automaton.words))
         for i, (keys, counts) in enumerate(automaton.levels()):
             add(held[i], (renamed(keys, i + 1, names), counts))
-    words = sorted(number)
-    rank = np.zeros(len(words), np.int64)
-    rank[[number[w] for w in words]] = np.arange(len(words))
-    out = []
-    for i, runs in enumerate(held):
-        keys, counts = summed(runs)
-        runs.clear()
-        out.append(summed([(renamed(keys, i + 1, rank), counts)]))
-    return words, out
+    return list(number), [summed(h) for h in held]
 
 
 def spelled(words: Sequence[bytes], keys: np.ndarray, length: int) -> list[bytes]:
