@@ -145,7 +145,7 @@ def dense(pdf, base):
 def test_lasso_with_patient_effects_meets_its_conditions(spark, penalty):
     pdf = lasso_frame()
     m = lasso.entity_moments(spark.createDataFrame(pdf).repartition(4), Design.of(["u", "v", "w"]), "y", "p", 0, "fold", 4)
-    point = lasso.path(m, [5.0, penalty], cross_validate=False, stop_early=False)[-1]
+    point = lasso.path(m, [5.0, penalty], cross_validate=False)[-1]
     effects = {r.p: r.effect for r in lasso.entity_effects(m, point).collect()}
     x, own = dense(pdf, 0)
     beta = np.concatenate([point.theta[1:], [effects[p] for p in own]])
@@ -177,11 +177,11 @@ def test_left_out_error_equals_scoring_the_fold(spark):
     df = spark.createDataFrame(pdf)
     design = Design.of(["u", "v", "w"])
     m = lasso.entity_moments(df, design, "y", "p", 0, "fold", 4)
-    point = lasso.path(m, [5.0, 0.5], stop_early=False)[-1]
+    point = lasso.path(m, [5.0, 0.5])[-1]
     total = 0.0
     for fold in range(4):
         rest = lasso.entity_moments(df.where(F.col("fold") != fold), design, "y", "p", 0, "fold", 4)
-        own = lasso.path(rest, [5.0, 0.5], cross_validate=False, stop_early=False)[-1]
+        own = lasso.path(rest, [5.0, 0.5], cross_validate=False)[-1]
         scored = lasso.predict(df.where(F.col("fold") == fold), rest, own, ["y"], "f")
         total += scored.agg(F.sum((F.col("y") - F.col("f")) ** 2)).first()[0]
     assert math.isclose(point.cv_mse, total / len(pdf), rel_tol=1e-3)
@@ -190,11 +190,44 @@ def test_left_out_error_equals_scoring_the_fold(spark):
 def test_all_effects_vanish_at_the_largest_penalty(spark):
     m = lasso.entity_moments(spark.createDataFrame(lasso_frame()), Design.of(["u", "v", "w"]), "y", "p", 0, "fold", 4)
     top = lasso.largest_penalty(m)
-    at, below = lasso.path(m, [top * 1.0001, top * 0.95], cross_validate=False, stop_early=False)
+    at, below = lasso.path(m, [top * 1.0001, top * 0.95], cross_validate=False)
     assert at.explained < 1e-6 < below.explained
     assert len(lasso.default_penalties(m, 20)) == 20
 
 
+@pytest.mark.parametrize("alpha", [1.0, 0.5, 0.0])
+def test_whole_path_settles_and_is_the_same_in_tasks_and_in_passes(spark, alpha):
+    pdf = lasso_frame()
+    m = lasso.entity_moments(spark.createDataFrame(pdf).repartition(3), Design.of(["u", "v", "w"]), "y", "p", 0, "fold", 4)
+    penalties = lasso.default_penalties(m, 12)
+    tasks = lasso.path(m, penalties, alpha)
+    passes = lasso.path(m, penalties, alpha, numbers_in_task=0)
+    assert len(tasks) == len(passes) == 12
+    for a, b in zip(tasks, passes, strict=True):
+        assert a.settled and b.settled
+        assert max(a.violation, b.violation) <= 1e-6
+        assert np.allclose(a.theta, b.theta, atol=1e-6)
+        assert math.isclose(a.cv_mse, b.cv_mse, rel_tol=1e-6)
+
+
+def test_lasso_fits_every_penalty_past_the_least_error(spark, monkeypatch):
+    """More columns than the folds can tell apart: the error rises again and the path goes on."""
+    rng = np.random.default_rng(8)
+    names = [f"c{i}" for i in range(40)]
+    pdf = pd.DataFrame(rng.normal(size=(90, 40)), columns=names)
+    pdf["p"], pdf["fold"] = rng.integers(0, 12, 90), np.arange(90, dtype=np.int32) % 4
+    # Columns that are constant within an entity compete with its effect.
+    for c in names[:8]:
+        pdf[c] = pdf.groupby("p")[c].transform("mean")
+    pdf["y"] = pdf.c10 + rng.normal(0, 1, 90)
+    m = lasso.entity_moments(spark.createDataFrame(pdf).repartition(2), Design.of(names), "y", "p", 0, "fold", 4)
+    monkeypatch.setattr(forecast, "forecast_moments", lambda features: m)
+    points = forecast.fit_forecast(None, 1.0).points
+    assert len(points) == 100
+    assert all(p.settled for p in points)
+    assert lasso.best_point(points).penalty > points[-20].penalty
+
+
 def test_ridge_fits_every_penalty_where_the_error_only_grows(spark, monkeypatch):
     pdf = lasso_frame().assign(y=np.random.default_rng(3).normal(0, 1, len(lasso_frame())))
     m = lasso.entity_moments(spark.createDataFrame(pdf).repartition(2), Design.of(["u", "v", "w"]), "y", "p", 0, "fold", 4)

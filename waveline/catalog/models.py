@@ -357,7 +357,7 @@ def shared_coefficients(spark, sf_dir):
 
 @query("m13_lasso_path")
 def lasso_path(spark, sf_dir):
-    points = path(forecast_moments(features(spark, sf_dir)), grid_penalties(), cross_validate=False, stop_early=False)
+    points = path(forecast_moments(features(spark, sf_dir)), grid_penalties(), cross_validate=False)
     rows = [(i, p.penalty, float(p.explained), int((p.theta[1:] != 0).sum()), p.settled) for i, p in enumerate(points)]
     return spark.createDataFrame(rows, "step int, penalty double, explained double, shared_terms int, settled boolean")
 

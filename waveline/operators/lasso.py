@@ -5,8 +5,9 @@ The design has a few hundred shared columns and one indicator per entity
 for given shared coefficients each entity's effect has a closed form. What is
 left is a problem in the shared columns alone. It needs the products of the
 shared columns (one small matrix per fold) and, per entity and fold, the sums
-of its rows. Both come from the data once; each step then reads only the
-table of entity sums and returns one small matrix per problem.
+of its rows. Both come from the data once. While the table of entity sums is
+small, each fold walks the whole path in a task of its own; a larger table
+stays where it is, and every step of all folds shares a pass over it.
 
 With N rows, the objective is
 
@@ -17,7 +18,6 @@ where s is the standard deviation (1/N) of a column in the training rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -31,19 +31,12 @@ from pyspark.sql import types as T
 
 from waveline.operators.design import Design
 from waveline.operators.moments import collect_matrices, cross_products, summed_matrices
+from waveline.operators.path_steps import PathFit, answer, entity_effects_at, fit_path, scales
 from waveline.sources.store import stored
 
 ALL_ROWS = -1
-LAMBDAS_PER_PASS = 10
-MAX_NEWTON = 40
-MAX_ROUNDS = 200
-SWEEPS_PER_ROUND = 4
-# In units of the standard deviation of the response.
-KKT_TOLERANCE = 1e-7
-SMALLEST_PIVOT = 1e-9
-# A fit ends when a step gains less than this share of the null objective.
-OBJECTIVE_TOLERANCE = 1e-7
-NEWTON_TOLERANCE = 1e-5
+#: A table of entity sums of at most so many numbers may go to one task per fold.
+NUMBERS_IN_TASK = 8_000_000
 
 
 def rmse(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
@@ -120,6 +113,20 @@ def entity_moments(
     return EntityMoments(design, entity, base, folds, products, stored(table.repartition(partitions, "entity")))
 
 
+@dataclass(frozen=True)
+class _Numbers:
+    """What tasks need of the moments, without the table."""
+
+    design: Design
+    folds: int
+    products: dict[int, np.ndarray]
+    training = EntityMoments.training
+
+    @classmethod
+    def of(cls, m: EntityMoments) -> _Numbers:
+        return cls(m.design, m.folds, m.products)
+
+
 def _unpack(pdf: pd.DataFrame, folds: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums as (entity, fold, column), and their total over folds."""
     lengths = pdf["folds"].map(len).to_numpy()
@@ -130,225 +137,11 @@ def _unpack(pdf: pd.DataFrame, folds: int, width: int) -> tuple[np.ndarray, np.n
     return cube, cube.sum(axis=1)
 
 
-@dataclass
-class Problem:
-    """One fit: the fold left out, the penalty and the current coefficients."""
-
-    left_out: int
-    penalty: float
-    theta: np.ndarray
-    objective: float = math.inf
-    previous: np.ndarray | None = None
-    slope: float = 0.0
-    train_rss: float = math.nan
-    test_rss: float = math.nan
-    done: bool = False
-
-
-def _effects(train: np.ndarray, theta: np.ndarray, rows: float, penalty: float, alpha: float, base: np.ndarray):
-    """Entity effects at given shared coefficients, and what they rest on."""
-    n = train[:, 0]
-    share = n / rows
-    deviation = np.sqrt(np.maximum(share * (1 - share), 0.0))
-    limit = rows * penalty * alpha * deviation
-    size = n + rows * penalty * (1 - alpha) * deviation**2
-    residual = train[:, -1] - train[:, :-1] @ theta
-    active = (n > 0) & (deviation > 0) & ~base & (np.abs(residual) > limit)
-    shrunk = np.where(active, np.sign(residual) * (np.abs(residual) - limit), 0.0)
-    effect = np.divide(shrunk, size, out=np.zeros_like(shrunk), where=size > 0)
-    return effect, active, residual, limit, size
-
-
-def _pass(m: EntityMoments, problems: Sequence[Problem], rows: dict[int, float], alpha: float) -> dict[str, np.ndarray]:
-    """Per problem: what the entity effects take from the shared problem."""
-    width = len(m.design.names) + 1
-    folds = m.folds
-    todo = [(str(i), p.left_out, p.penalty, p.theta.copy()) for i, p in enumerate(problems)]
-
-    def blocks(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-        cube, total = _unpack(pdf, folds, width)
-        base = pdf["is_base"].to_numpy(dtype=bool)
-        out = {}
-        for name, left_out, penalty, theta in todo:
-            held = cube[:, left_out] if left_out != ALL_ROWS else np.zeros_like(total)
-            train = total - held
-            effect, active, residual, limit, size = _effects(train, theta, rows[left_out], penalty, alpha, base)
-            z, s = train[active, :-1], size[active]
-            target = train[active, -1] - np.sign(residual[active]) * limit[active]
-            matrix = np.zeros((width, width))
-            matrix[:-1, :-1] = (z / s[:, None]).T @ z
-            matrix[:-1, -1] = z.T @ (target / s)
-            held_residual = held[:, -1] - held[:, :-1] @ theta
-            matrix[-1, :5] = (
-                0.5 * np.sum((np.abs(residual[active]) - limit[active]) ** 2 / s),
-                effect @ residual,
-                np.sum(effect**2 * train[:, 0]),
-                effect @ held_residual,
-                np.sum(effect**2 * held[:, 0]),
-            )
-            out[name] = matrix
-        return out
-
-    return collect_matrices(summed_matrices(m.sums.select("folds", "sums", "is_base"), blocks))
-
-
-def _settle(h: np.ndarray, c: np.ndarray, u: np.ndarray, l1: float, l2: float) -> tuple[np.ndarray, bool]:
-    """Solve one problem exactly on the columns in use.
-
-    Where a coefficient would change its sign it is stopped at zero. The flag
-    tells whether no other column wants to enter.
-    """
-    u = u.copy()
-    while u.any():
-        used = np.flatnonzero(u)
-        signs = np.sign(u[used])
-        block = h[np.ix_(used, used)] + (l2 + 1e-12) * np.eye(len(used))
-        target = np.linalg.solve(block, c[used] - l1 * signs)
-        crossing = np.flatnonzero(np.sign(target) != signs)
-        if len(crossing) == 0:
-            u[used] = target
-            break
-        reach = u[used][crossing] / (u[used][crossing] - target[crossing])
-        first = int(np.argmin(reach))
-        u[used] += reach[first] * (target - u[used])
-        u[used[crossing[first]]] = 0.0
-    pull = np.abs(c - h @ u)[(u == 0) & (np.diag(h) > SMALLEST_PIVOT)]
-    return u, bool(np.max(pull, initial=0.0) <= l1 + KKT_TOLERANCE)
-
-
-def descend(h: np.ndarray, c: np.ndarray, u: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
-    """Coordinate descent on many small problems side by side.
-
-    Minimises u'Hu/2 - c'u + l1 |u| + l2 u^2/2 per problem. A few sweeps find
-    the columns in use; the exact solution on those ends the search.
-    """
-    u = u.copy()
-    diagonal = np.einsum("mii->mi", h)
-    usable = diagonal > SMALLEST_PIVOT
-    open_ = np.arange(len(u))
-    for _ in range(MAX_ROUNDS):
-        ho, uo, lo, ridge = h[open_], u[open_], l1[open_], l2[open_]
-        gradient = c[open_] - np.einsum("mij,mj->mi", ho, uo)
-        for _ in range(SWEEPS_PER_ROUND):
-            for j in range(u.shape[1]):
-                size, ok = diagonal[open_, j], usable[open_, j]
-                pull = gradient[:, j] + size * uo[:, j]
-                new = np.sign(pull) * np.maximum(np.abs(pull) - lo, 0.0) / np.where(ok, size + ridge, 1.0)
-                step = np.where(ok, new - uo[:, j], 0.0)
-                if step.any():
-                    gradient -= ho[:, j, :] * step[:, None]
-                    uo[:, j] += step
-        left = []
-        for i, at in enumerate(open_):
-            u[at], settled = _settle(h[at], c[at], uo[i], l1[at], l2[at])
-            if not settled:
-                left.append(at)
-        if not left:
-            break
-        open_ = np.array(left)
-    return u
-
-
-def _scales(products: np.ndarray) -> np.ndarray:
-    """Standard deviation of each shared column (0 for the intercept)."""
-    n = products[0, 0]
-    mean = products[0, :-1] / n
-    variance = np.diag(products)[:-1] / n - mean**2
-    return np.sqrt(np.where(variance > 1e-12 * np.maximum(np.diag(products)[:-1] / n, 1e-300), variance, 0.0))
-
-
-def _step(m: EntityMoments, problems: list[Problem], sums: dict[str, np.ndarray], alpha: float) -> None:
-    """One Newton step of every open problem, in place."""
-    variance_y = {}
-    hs, cs, us, keeps = [], [], [], []
-    for i, p in enumerate(problems):
-        products, taken = m.training(p.left_out), sums[str(i)]
-        n, s = products[0, 0], _scales(products)
-        variance_y[i] = products[-1, -1] / n - (products[0, -1] / n) ** 2
-        theta = p.theta
-        fitted = products[-1, -1] - 2 * theta @ products[:-1, -1] + theta @ products[:-1, :-1] @ theta
-        ridge = (1 - alpha) / 2 * np.sum((s * theta) ** 2)
-        value = fitted / 2 - taken[-1, 0] + n * p.penalty * (alpha * np.sum(s * np.abs(theta)) + ridge)
-        p.train_rss = float(fitted - 2 * taken[-1, 1] + taken[-1, 2])
-        if p.left_out != ALL_ROWS:
-            own = m.products[p.left_out]
-            held = own[-1, -1] - 2 * theta @ own[:-1, -1] + theta @ own[:-1, :-1] @ theta
-            p.test_rss = float(held - 2 * taken[-1, 3] + taken[-1, 4])
-        gain, least = p.objective - value, OBJECTIVE_TOLERANCE * n * variance_y[i] / 2
-        if p.previous is not None and gain < -least:
-            # Too long a step: go back to the best point of a parabola.
-            back = min(0.5, max(0.01, p.slope / (2 * (p.slope - gain))))
-            p.theta, p.slope = p.previous + back * (theta - p.previous), p.slope * back
-            keeps.append(None)
-            continue
-        if p.previous is not None and gain < least:
-            p.done = True
-            keeps.append(None)
-            continue
-        p.objective, p.previous = value, theta
-        h = products[:-1, :-1] - taken[:-1, :-1]
-        c = products[:-1, -1] - taken[:-1, -1]
-        # If every entity has an effect, the level is fixed only by their
-        # signs; hold it near the current one.
-        hold = max(0.0, 1e-3 * n - h[0, 0])
-        level, pull = h[0, 0] + hold, c[0] + hold * theta[0]
-        scale = np.where(s[1:] > 0, s[1:], 1.0)
-        inner = (h[1:, 1:] - np.outer(h[1:, 0], h[0, 1:]) / level) / np.outer(scale, scale) / n
-        inner[s[1:] == 0, :] = 0.0
-        inner[:, s[1:] == 0] = 0.0
-        hs.append(inner)
-        cs.append(np.where(s[1:] > 0, (c[1:] - h[1:, 0] * pull / level) / scale / n, 0.0))
-        us.append(theta[1:] * scale)
-        keeps.append((h, c, s, level, pull, scale, len(hs) - 1))
-    if not hs:
-        return
-    chosen = [p for p, k in zip(problems, keeps) if k is not None]
-    penalties = np.array([p.penalty for p in chosen])
-    # Work in units of the response, so that tolerances mean the same.
-    unit = np.sqrt(np.array([max(variance_y[i], 1e-300) for i, k in enumerate(keeps) if k is not None]))
-    solved = descend(
-        np.array(hs), np.array(cs) / unit[:, None], np.array(us) / unit[:, None], penalties * alpha / unit, penalties * (1 - alpha)
-    ) * unit[:, None]
-    for i, (p, k) in enumerate(zip(problems, keeps)):
-        if k is None:
-            continue
-        h, c, s, level, pull, scale, at = k
-        slope = solved[at] / scale
-        theta = np.concatenate([[(pull - h[0, 1:] @ slope) / level], slope])
-        move = max(abs(theta[0] - p.theta[0]), float(np.max(np.abs((theta - p.theta)[1:] * scale), initial=0.0)))
-        if move < NEWTON_TOLERANCE * math.sqrt(variance_y[i]):
-            p.done = True
-        else:
-            n = m.training(p.left_out)[0, 0]
-            model = [
-                t @ h @ t / 2 - c @ t + n * p.penalty * np.sum(alpha * s * np.abs(t) + (1 - alpha) / 2 * (s * t) ** 2)
-                for t in (p.theta, theta)
-            ]
-            p.theta, p.slope = theta, 2 * max(model[0] - model[1], 1e-12 * n * variance_y[i])
-
-
-def solve(m: EntityMoments, problems: list[Problem], alpha: float = 1.0) -> list[Problem]:
-    """Bring all problems to their optimum, one pass per step for all."""
-    rows = {f: float(m.training(f)[0, 0]) for f in {p.left_out for p in problems}}
-    for _ in range(MAX_NEWTON):
-        todo = [p for p in problems if not p.done]
-        if not todo:
-            break
-        _step(m, todo, _pass(m, todo, rows, alpha), alpha)
-    return problems
-
-
-def _start(products: np.ndarray) -> np.ndarray:
-    theta = np.zeros(len(products) - 1)
-    theta[0] = products[0, -1] / products[0, 0]
-    return theta
-
-
 def largest_penalty(m: EntityMoments) -> float:
     """The smallest penalty at which every effect is zero."""
     products = m.training(ALL_ROWS)
     n, mean = products[0, 0], products[0, -1] / products[0, 0]
-    s = _scales(products)
+    s = scales(products)
     pull = np.abs(products[:-1, -1] - mean * products[:-1, 0])
     shared = float(np.max(np.divide(pull, n * s, out=np.zeros_like(pull), where=s > 0)))
     width, folds = len(products), m.folds
@@ -375,11 +168,74 @@ def default_penalties(m: EntityMoments, count: int = 100) -> list[float]:
 
 @dataclass(frozen=True)
 class PathPoint:
+    """``violation`` is the largest one of an optimality condition, in standard deviations of the response, over all folds."""
+
     penalty: float
     theta: np.ndarray
     explained: float
     cv_mse: float | None
     settled: bool
+    violation: float
+
+
+def _sides(m: EntityMoments, pdf: pd.DataFrame, left_out: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    """Sums of the training rows and of those left out, and which entity has no indicator."""
+    cube, total = _unpack(pdf, m.folds, len(m.design.names) + 1)
+    held = None if left_out == ALL_ROWS else cube[:, left_out]
+    return total if held is None else total - held, held, pdf["is_base"].to_numpy(dtype=bool)
+
+
+def _paths_in_tasks(m: EntityMoments, left_out: Sequence[int], penalties: Sequence[float], alpha: float) -> dict[int, list[PathFit]]:
+    """Each fold walks its path in a task of its own."""
+    small = _Numbers.of(m)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        fold = int(pdf["left_out"].iloc[0])
+        train, held, base = _sides(small, pdf, fold)
+        rows = float(small.training(fold)[0, 0])
+        steps = fit_path(small.training(fold), small.products.get(fold), penalties, alpha)
+        try:
+            ask = next(steps)
+            while True:
+                ask = steps.send(answer(ask, train, held, base, rows, alpha))
+        except StopIteration as end:
+            fits = end.value
+        return pd.DataFrame([(fold, i, list(f.theta), f.train_rss, f.test_rss, f.violation, f.settled) for i, f in enumerate(fits)], columns=names)
+
+    schema = "left_out int, step int, theta array<double>, train_rss double, test_rss double, violation double, settled boolean"
+    names = [field.split()[0] for field in schema.split(", ")]
+    each = m.sums.withColumn("left_out", F.explode(F.array(*[F.lit(f) for f in left_out])))
+    out: dict[int, list[PathFit]] = {f: [] for f in left_out}
+    # One row a fold and penalty.
+    for r in each.groupBy("left_out").applyInPandas(walk, schema).orderBy("left_out", "step").collect():
+        out[r.left_out].append(PathFit(penalties[r.step], np.array(r.theta), r.train_rss, r.test_rss, r.violation, r.settled))
+    return out
+
+
+def _paths_in_passes(m: EntityMoments, left_out: Sequence[int], penalties: Sequence[float], alpha: float) -> dict[int, list[PathFit]]:
+    """All folds walk side by side; a pass over the entities answers what all of them ask."""
+    small = _Numbers.of(m)
+    steps = {f: fit_path(m.training(f), m.products.get(f), penalties, alpha) for f in left_out}
+    asks = {f: next(g) for f, g in steps.items()}
+    out: dict[int, list[PathFit]] = {}
+    while asks:
+        now = dict(asks)
+
+        def blocks(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+            found = {}
+            for fold, ask in now.items():
+                train, held, base = _sides(small, pdf, fold)
+                found[str(fold)] = answer(ask, train, held, base, float(small.training(fold)[0, 0]), alpha)[None]
+            return found
+
+        for row in summed_matrices(m.sums.select("folds", "sums", "is_base"), blocks).collect():
+            fold = int(row.group)
+            try:
+                asks[fold] = steps[fold].send(np.array(row.row))
+            except StopIteration as end:
+                out[fold] = end.value
+                del asks[fold]
+    return out
 
 
 def path(
@@ -387,40 +243,27 @@ def path(
     penalties: Sequence[float],
     alpha: float = 1.0,
     cross_validate: bool = True,
-    stop_early: bool = False,
-    patience: int | None = None,
+    numbers_in_task: int = NUMBERS_IN_TASK,
 ) -> list[PathPoint]:
-    """Fits along decreasing penalties, with the error on left-out folds.
+    """Fits at all ``penalties``, largest first, with the error on left-out folds.
 
-    All folds and ``LAMBDAS_PER_PASS`` penalties share every pass. The whole
-    path is fitted; ``stop_early`` ends it once a smaller penalty explains no
-    more, ``patience`` once the error on left-out folds has not improved for so
-    many penalties.
+    A table of more than ``numbers_in_task`` entity sums is never moved as a
+    whole; the fits are the same.
     """
     left_out = [ALL_ROWS, *sorted(m.products)] if cross_validate else [ALL_ROWS]
     everything = m.training(ALL_ROWS)
     n = everything[0, 0]
     variance = everything[-1, -1] - everything[0, -1] ** 2 / n
-    theta = {f: _start(m.training(f)) for f in left_out}
-    out: list[PathPoint] = []
-    ordered = sorted(penalties, reverse=True)
-    for at in range(0, len(ordered), LAMBDAS_PER_PASS):
-        chunk = ordered[at : at + LAMBDAS_PER_PASS]
-        problems = [Problem(f, penalty, theta[f].copy()) for penalty in chunk for f in left_out]
-        solve(m, problems, alpha)
-        for penalty in chunk:
-            fits = {p.left_out: p for p in problems if p.penalty == penalty}
-            theta = {f: p.theta for f, p in fits.items()}
-            error = sum(p.test_rss for f, p in fits.items() if f != ALL_ROWS) / n if cross_validate else None
-            explained = 1 - fits[ALL_ROWS].train_rss / variance
-            gain = explained - out[-1].explained if out else math.inf
-            out.append(PathPoint(penalty, theta[ALL_ROWS], explained, error, all(p.done for p in fits.values())))
-            if stop_early and len(out) >= 5 and (explained > 0.999 or gain < 1e-5 * explained):
-                return out
-        if cross_validate and patience is not None:
-            best = min(range(len(out)), key=lambda i: out[i].cv_mse)
-            if len(out) - 1 - best >= patience:
-                break
+    ordered = [float(p) for p in sorted(penalties, reverse=True)]
+    entities = m.sums.count()
+    small = 0 < entities * m.folds * len(everything) <= numbers_in_task
+    fits = (_paths_in_tasks if small else _paths_in_passes)(m, left_out, ordered, alpha)
+    out = []
+    for i, penalty in enumerate(ordered):
+        own = fits[ALL_ROWS][i]
+        each = [fits[f][i] for f in left_out]
+        error = sum(f.test_rss for f in each[1:]) / n if cross_validate else None
+        out.append(PathPoint(penalty, own.theta, 1 - own.train_rss / variance, error, all(f.settled for f in each), max(f.violation for f in each)))
     return out
 
 
@@ -438,7 +281,7 @@ def entity_effects(m: EntityMoments, point: PathPoint, alpha: float = 1.0) -> Da
     def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             _, total = _unpack(pdf, folds, width)
-            effect = _effects(total, theta, rows, penalty, alpha, pdf["is_base"].to_numpy(dtype=bool))[0]
+            effect = entity_effects_at(total, theta, rows, penalty, alpha, pdf["is_base"].to_numpy(dtype=bool))[0]
             yield pd.DataFrame({m_entity: pdf["entity"], "effect": effect})
 
     m_entity = m.entity

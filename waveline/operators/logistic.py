@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from waveline.operators.design import Design
-from waveline.operators.lasso import descend
+from waveline.operators.path_steps import descend
 from waveline.operators.moments import collect_matrices, cross_products, summed_matrices
 from waveline.operators.ols import independent_columns
 

@@ -96,19 +96,12 @@ def forecast_moments(features: DataFrame) -> lasso.EntityMoments:
     return lasso.entity_moments(train, design, SCORE, "PatientID", base, "_fold", FOLDS)
 
 
-def fit_forecast(features: DataFrame, alpha: float = 1.0, count: int = 100, patience: int | None = 10) -> ForecastModel:
-    """Cross-validated lasso (``alpha=1``) or ridge (``alpha=0``).
-
-    The lasso path ends where a smaller penalty explains no more, or where the
-    error on left-out folds has not improved for ``patience`` penalties; None
-    fits all ``count`` of them, at a cost that grows steeply along the path.
-    Ridge always fits all of them.
-    """
-    patience = patience if alpha > 0 else None
+def fit_forecast(features: DataFrame, alpha: float = 1.0, count: int = 100) -> ForecastModel:
+    """Cross-validated lasso (``alpha=1``) or ridge (``alpha=0``) at all ``count`` penalties."""
     m = forecast_moments(features)
     top = 1.0 if alpha > 0 else 1000.0
     penalties = [p * top for p in lasso.default_penalties(m, count)]
-    points = lasso.path(m, penalties, alpha, stop_early=patience is not None, patience=patience)
+    points = lasso.path(m, penalties, alpha)
     return ForecastModel(m, points, lasso.best_point(points), alpha)
 
 
