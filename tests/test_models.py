@@ -352,6 +352,56 @@ def test_degree_sweep_has_the_items_and_equals_numpy(spark):
     assert found.test_rmse["items"] < found.test_rmse["total"]
 
 
+def test_degree_ten_equals_least_squares_by_numpy(spark):
+    rng = np.random.default_rng(6)
+    n = 3000
+    pdf = pd.DataFrame({"AssessmentID": np.arange(n), "TreatmentWeek": rng.integers(0, 25, n)})
+    pdf["TxGroup"] = rng.choice(["Control", "Treatment"], n)
+    pdf["BaselinePANSS_Total"] = rng.integers(60, 120, n)
+    pdf["PANSS_Total"] = pdf.BaselinePANSS_Total - 10 * np.sin(pdf.TreatmentWeek / 3) + rng.normal(0, 3, n)
+    df = spark.createDataFrame(pdf).repartition(5)
+    found = degree_sweep(df, 10).orderBy("degree").toPandas()
+    drawn = {r[0] for r in split_rows(df, "AssessmentID", 0.5)[0].select("AssessmentID").collect()}
+    train = pdf.AssessmentID.isin(drawn).to_numpy()
+    treated, base = (pdf.TxGroup == "Treatment").to_numpy(dtype=float), (pdf.BaselinePANSS_Total - 90) / 17
+    sides = np.column_stack([np.ones(n), base, treated])
+    for degree in (1, 4, 10):
+        t = np.polynomial.legendre.legvander(pdf.TreatmentWeek / 12 - 1, degree)
+        x = np.column_stack([base * treated, *(sides * t[:, [d]] for d in range(degree + 1))])
+        q, r = np.linalg.qr(x[train])
+        left = pdf.PANSS_Total - x @ np.linalg.solve(r, q.T @ pdf.PANSS_Total[train])
+        assert math.isclose(found.train_rmse[degree - 1], (left[train] ** 2).mean() ** 0.5, rel_tol=1e-8)
+        assert math.isclose(found.test_rmse[degree - 1], (left[~train] ** 2).mean() ** 0.5, rel_tol=1e-8)
+
+
+def test_degree_sweep_of_few_weeks_keeps_the_rank(spark):
+    """More degrees than weeks: columns that add nothing change no error."""
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"AssessmentID": np.arange(600), "TreatmentWeek": rng.integers(0, 4, 600), "TxGroup": rng.choice(["Control", "Treatment"], 600)})
+    pdf["BaselinePANSS_Total"] = rng.integers(60, 120, 600)
+    pdf["PANSS_Total"] = pdf.BaselinePANSS_Total - pdf.TreatmentWeek**2 + rng.normal(0, 3, 600)
+    table = degree_sweep(spark.createDataFrame(pdf), 10).orderBy("degree").toPandas()
+    assert np.allclose(table.train_rmse[2:], table.train_rmse[2], rtol=1e-8)
+    assert np.allclose(table.test_rmse[2:], table.test_rmse[2], rtol=1e-8)
+
+
+def test_ill_conditioned_fit_keeps_its_digits(spark):
+    """Raw powers up to ten: products of columns would keep hardly a digit."""
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"x": rng.uniform(0, 1, 4000)})
+    pdf["y"] = np.cos(4 * pdf.x) + rng.normal(0, 0.01, 4000)
+    for d in range(1, 11):
+        pdf[f"x{d}"] = pdf.x**d
+    design = Design.of([f"x{d}" for d in range(1, 11)])
+    fit = ols.fit(spark.createDataFrame(pdf).repartition(7), design, "y")
+    x = design.matrix(pdf)
+    beta, rss, *_ = np.linalg.lstsq(x, pdf.y.to_numpy(), rcond=None)
+    assert fit.kept == list(range(11))
+    assert math.isclose(fit.rss, float(rss[0]), rel_tol=1e-8)
+    assert np.allclose(x @ fit.beta, x @ beta, rtol=1e-8, atol=1e-8)
+    assert np.allclose(fit.beta, beta, rtol=1e-5)
+
+
 def test_pass_model_equals_plain_numpy_on_the_panel(spark):
     """The factorial without flags, refitted on rows that DuckDB derives."""
     import duckdb

@@ -1,4 +1,4 @@
-"""Least squares on moment matrices, coefficient tables and model comparison."""
+"""Least squares on triangular factors or moment matrices, coefficient tables and model comparison."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from waveline.functions.tails import f_upper, t_quantile, t_two_sided
+from waveline.operators import tall_qr
 from waveline.operators.design import Design
-from waveline.operators.moments import collect_matrices, cross_products
 
 
 def independent_columns(gram: np.ndarray, tolerance: float = 1e-9) -> list[int]:
@@ -27,6 +27,21 @@ def independent_columns(gram: np.ndarray, tolerance: float = 1e-9) -> list[int]:
     return keep
 
 
+def inverse_of(gram: np.ndarray) -> np.ndarray:
+    """Inverse of a positive definite matrix, swept column by column.
+
+    LAPACK would start threads here, which can wait for each other for ever in
+    a process that has started a JVM.
+    """
+    a = gram.copy()
+    for j in range(len(a)):
+        column, pivot = a[:, j].copy(), a[j, j]
+        a -= np.outer(column, column / pivot)
+        a[:, j] = a[j, :] = column / pivot
+        a[j, j] = -1.0 / pivot
+    return -a
+
+
 @dataclass(frozen=True)
 class LinearFit:
     names: list[str]
@@ -65,6 +80,12 @@ class LinearFit:
         return self.rows, df, math.sqrt(sigma2), r2, adjusted, f, model_df, f_upper(f, model_df, df)
 
 
+def centred(products: np.ndarray) -> np.ndarray:
+    """Products of the columns about their means."""
+    n = products[0, 0]
+    return products - np.outer(products[0], products[0]) / n
+
+
 def solve(products: np.ndarray, names: Sequence[str]) -> LinearFit:
     """Fit from Z'Z with the intercept first and the response last.
 
@@ -73,13 +94,13 @@ def solve(products: np.ndarray, names: Sequence[str]) -> LinearFit:
     """
     n = products[0, 0]
     mean = products[0] / n
-    centred = products - n * np.outer(mean, mean)
-    x, y = centred[1:-1, 1:-1], centred[1:-1, -1]
+    about = centred(products)
+    x, y = about[1:-1, 1:-1], about[1:-1, -1]
     kept = independent_columns(x)
     scale = np.sqrt(np.diag(x)[kept])
-    inverse = np.linalg.inv(x[np.ix_(kept, kept)] / np.outer(scale, scale)) / np.outer(scale, scale)
+    inverse = inverse_of(x[np.ix_(kept, kept)] / np.outer(scale, scale)) / np.outer(scale, scale)
     slope = inverse @ y[kept]
-    tss = float(centred[-1, -1])
+    tss = float(about[-1, -1])
     rss = float(tss - 2 * slope @ y[kept] + slope @ x[np.ix_(kept, kept)] @ slope)
     m = mean[1:-1][kept]
     beta = np.concatenate([[mean[-1] - m @ slope], slope])
@@ -91,15 +112,31 @@ def solve(products: np.ndarray, names: Sequence[str]) -> LinearFit:
     return LinearFit(list(names), [0, *[k + 1 for k in kept]], beta, errors, rss, tss, rows)
 
 
+def solve_factor(factor: np.ndarray, names: Sequence[str]) -> LinearFit:
+    """Fit from the triangular factor of Z, with the intercept first and the response last."""
+    x, y = factor[:, :-1], factor[:, -1]
+    kept = tall_qr.independent_columns(x)
+    q, r = np.linalg.qr(x[:, kept])
+    beta = np.linalg.solve(r, q.T @ y)
+    residual = y - x[:, kept] @ beta
+    rss, rows = float(residual @ residual), int(round(factor[0, 0] ** 2))
+    # The first row holds the share of the intercept.
+    tss = float(factor[1:, -1] @ factor[1:, -1])
+    left = rows - len(kept)
+    sigma2 = rss / left if left > 0 else math.nan
+    errors = np.sqrt(sigma2 * np.sum(np.linalg.inv(r) ** 2, axis=1))
+    return LinearFit(list(names), kept, beta, errors, rss, tss, rows)
+
+
 def fit(df: DataFrame, design: Design, response: str) -> LinearFit:
     """Ordinary least squares in one pass over the data."""
-    return solve(collect_matrices(cross_products(df, design, response))[""], design.names)
+    return fit_by(df, design, response, None)[""]
 
 
-def fit_by(df: DataFrame, design: Design, response: str, by: str) -> dict[str, LinearFit]:
+def fit_by(df: DataFrame, design: Design, response: str, by: str | None) -> dict[str, LinearFit]:
     """One fit per value of a grouping column, in one pass."""
-    products = collect_matrices(cross_products(df, design, response, by))
-    return {g: solve(m, design.names) for g, m in sorted(products.items())}
+    factors = tall_qr.triangular_factors(df, design, response, by)
+    return {g: solve_factor(r, design.names) for g, r in sorted(factors.items())}
 
 
 def coefficient_table(spark: SparkSession, fits: dict[str, LinearFit]) -> DataFrame:

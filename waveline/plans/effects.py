@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
+from numpy.polynomial.chebyshev import chebvander
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waveline.operators import ols
 from waveline.operators.design import Design, crossed, factor_levels, numeric_shift
-from waveline.operators.moments import collect_matrices, cross_products
+from waveline.operators.moments import collect_matrices, cross_products, summed_matrices
 from waveline.operators.split import split_rows
 from waveline.sources.panel_csv import ITEMS, SCORE
 
@@ -83,12 +85,26 @@ BASE_TOTAL = f"Baseline{SCORE}"
 BASE_ITEMS = [f"Baseline{c}" for c in ITEMS]
 
 
-def _degree_terms(x: str, degree: int, bases: Sequence[str], factors: Sequence[str]) -> list:
-    powers = [f"{x}_{d}" for d in range(1, degree + 1)]
-    terms = [*factors, *powers, *bases, "TxGroup", *(("TxGroup", b) for b in bases)]
-    for p in powers:
-        terms += [*((p, b) for b in bases), (p, "TxGroup")]
-    return terms
+#: Share of a column that must be its own, in squares, to be sure that it is.
+SURE_PIVOT = 1e-6
+
+
+def _polynomial_moments(rows: DataFrame, x: str, y: str, degrees: int, crossed_terms: Design, sides: Design) -> dict[str, np.ndarray]:
+    """Per part, sums of T_s(x) e e' for s = 0 .. 2 * degrees, with e = [crossed terms, sides, response].
+
+    A product of two Chebyshev polynomials is the mean of two others, so these
+    blocks hold every product of columns T_p(x) e of all degrees.
+    """
+
+    def blocks(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        pdf = sides.complete(crossed_terms.complete(pdf, x, y), x, y)
+        e = np.column_stack([crossed_terms.matrix(pdf), sides.matrix(pdf), pdf[y].to_numpy(dtype=float)])
+        t = chebvander(pdf[x].to_numpy(dtype=float), 2 * degrees)
+        parts = pdf["_part"].to_numpy()
+        return {p: np.vstack([(e[parts == p] * t[parts == p, s, None]).T @ e[parts == p] for s in range(2 * degrees + 1)]) for p in pd.unique(parts)}
+
+    sums = collect_matrices(summed_matrices(rows, blocks))
+    return {p: m.reshape(2 * degrees + 1, m.shape[1], m.shape[1]) for p, m in sums.items()}
 
 
 def degree_sweep(
@@ -101,37 +117,47 @@ def degree_sweep(
     """Train and test RMSE of polynomial models in the visit number.
 
     The powers and the treatment are crossed with each of ``bases``;
-    ``factors`` are added as they are. The products of the largest degree
-    contain those of every smaller one, so the train and the test part are each
-    read once for the whole sweep.
+    ``factors`` are added as they are. Powers up to a degree span the same
+    columns as the Chebyshev polynomials up to it, which are far better
+    conditioned. One pass over the rows serves all degrees. Errors are null where
+    no row is left over, or where sums of products cannot tell whether a column
+    adds anything (about as many columns as rows).
     """
     x, y = "TreatmentWeek", SCORE
     rows = features.select("AssessmentID", x, "TxGroup", *bases, *factors, y)
-    top = float(rows.agg(F.max(F.abs(x))).first()[0] or 1.0)
-    rows = with_powers(rows.withColumn(x, F.col(x) / top), x, degrees)
+    low, high, mean = rows.agg(F.min(x), F.max(x), F.avg(y)).first()
+    if low is None:
+        return features.sparkSession.createDataFrame([], "degree int, train_rmse double, test_rmse double")
+    rows = rows.withColumns({x: (2 * F.col(x) - (low + high)) / float(high - low or 1), y: F.col(y) - mean})
     levels = factor_levels(rows, ["TxGroup", *factors])
     shift = numeric_shift(rows, bases)
-    full = Design.of(_degree_terms(x, degrees, bases, factors), levels=levels, shift=shift)
+    crossed_terms = Design.of([*bases, "TxGroup"], levels={"TxGroup": levels["TxGroup"]}, shift=shift)
+    sides = Design.of([*(("TxGroup", b) for b in bases), *factors], levels=levels, shift=shift, intercept=False)
     train, test = split_rows(rows, "AssessmentID", share)
-    parts = {
-        name: collect_matrices(cross_products(part, full, y))[""] for name, part in (("train", train), ("test", test))
-    }
-    places = {n: i for i, n in enumerate(full.names)}
+    both = train.withColumn("_part", F.lit("train")).unionByName(test.withColumn("_part", F.lit("test")))
+    moments = _polynomial_moments(both, x, y, degrees, crossed_terms, sides)
+
+    # Column (p, i) of the largest design is T_p(x) times e_i; the response comes last.
+    wide, last = len(crossed_terms.names), len(crossed_terms.names) + len(sides.names)
+    place = [(0, i) for i in range(last)] + [(p, i) for p in range(1, degrees + 1) for i in range(wide)] + [(0, last)]
+    power, index = np.array(place).T
+    at = index[:, None], index[None, :]
+    products = {k: (m[power[:, None] + power, *at] + m[np.abs(power[:, None] - power), *at]) / 2 for k, m in moments.items()}
     out = []
     for degree in range(1, degrees + 1):
-        names = Design.of(_degree_terms(x, degree, bases, factors), levels=levels, shift=shift).names
-        pick = [places[n] for n in names] + [len(places)]
-        small = {name: m[pick][:, pick] for name, m in parts.items()}
-        fitted = ols.solve(small["train"], names)
+        pick = np.flatnonzero(power <= degree)
+        small = {k: m[np.ix_(pick, pick)] for k, m in products.items()}
+        fitted = ols.solve(small["train"], [str(i) for i in pick[:-1]])
+        centred = ols.centred(small["train"])[1:-1, 1:-1]
+        if len(ols.independent_columns(centred, SURE_PIVOT)) + 1 < len(fitted.kept) or fitted.residual_df <= 0:
+            out.append((degree, None, None))
+            continue
         weights = np.zeros(len(pick))
-        for j, b in zip(fitted.kept, fitted.beta):
-            weights[j] = -b
+        weights[fitted.kept] = -fitted.beta
         weights[-1] = 1.0
-        errors = {}
-        for name, m in small.items():
-            # Residual sum of squares as a quadratic form of the products.
-            errors[name] = (max(float(weights @ m @ weights), 0.0) / m[0, 0]) ** 0.5
-        out.append((degree, float(errors["train"]), float(errors["test"])))
+        # Residual sum of squares as a quadratic form of the products.
+        errors = {k: (max(float(weights @ m @ weights), 0.0) / m[0, 0]) ** 0.5 for k, m in small.items()}
+        out.append((degree, float(errors["train"]), float(errors.get("test", float("nan")))))
     return features.sparkSession.createDataFrame(out, "degree int, train_rmse double, test_rmse double")
 
 
