@@ -42,6 +42,7 @@ from waveline.plans.visit_check import (
     given_probability,
     labelled_rows,
     pass_probabilities,
+    penalised_classes,
     penalised_check,
     penalised_probabilities,
     random_classes,
@@ -427,17 +428,65 @@ def ridge_rmse(spark, sf_dir):
     return holdout_rmse(features(spark, sf_dir), forecast_model(spark, sf_dir, 0.0))
 
 
-PENALTIES = [0.1, 0.03, 0.01, 0.003, 0.001]
+_CHECK_PATHS: dict = {}
+KINDS = {"lasso": 1.0, "ridge": 0.0}
+
+
+def check_path(spark, sf_dir, kind):
+    """The cross-validated penalised model, fitted once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _CHECK_PATHS:
+        _CHECK_PATHS[key] = penalised_check(checks(spark, sf_dir), KINDS[kind])
+    return _CHECK_PATHS[key]
+
+
+def _penalty_table(spark, found):
+    terms = [int((b[1:] != 0).sum()) for b in found.betas]
+    rows = list(zip(found.penalties, map(float, found.log_loss), terms, found.settled))
+    return spark.createDataFrame(rows, "penalty double, log_loss double, terms int, settled boolean")
 
 
 @query("m22_lasso_logistic")
 def lasso_logistic(spark, sf_dir):
-    found = penalised_check(checks(spark, sf_dir), 1.0, PENALTIES)
-    rows = [(p, float(v), int((b[1:] != 0).sum())) for p, v, b in zip(found.penalties, found.log_loss, found.betas)]
-    return spark.createDataFrame(rows, "penalty double, log_loss double, terms int")
+    return _penalty_table(spark, check_path(spark, sf_dir, "lasso"))
+
+
+@query("m22_ridge_path")
+def ridge_logistic_path(spark, sf_dir):
+    return _penalty_table(spark, check_path(spark, sf_dir, "ridge"))
 
 
 @query("m22_ridge_logistic")
 def ridge_logistic(spark, sf_dir):
-    rows = checks(spark, sf_dir)
-    return penalised_probabilities(rows.where("Study = 'E'"), penalised_check(rows, 0.0, PENALTIES))
+    return penalised_probabilities(checks(spark, sf_dir).where("Study = 'E'"), check_path(spark, sf_dir, "ridge"))
+
+
+@query("m22_lasso_probabilities")
+def lasso_probabilities(spark, sf_dir):
+    return penalised_probabilities(checks(spark, sf_dir).where("Study = 'E'"), check_path(spark, sf_dir, "lasso"))
+
+
+def _by_kind(spark, sf_dir, table):
+    parts = [table(penalised_classes(checks(spark, sf_dir), check_path(spark, sf_dir, k))).select(F.lit(k).alias("penalty"), "*") for k in KINDS]
+    return parts[0].unionByName(parts[1])
+
+
+@query("m22_class_tables")
+def class_tables(spark, sf_dir):
+    """Predicted and actual classes of the test rows, for both penalties."""
+    return _by_kind(spark, sf_dir, lambda rows: rows.groupBy("class", "LeadStatus").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("m22_accuracies")
+def penalised_accuracies(spark, sf_dir):
+    return _by_kind(spark, sf_dir, lambda rows: accuracy(rows, "class", "LeadStatus"))
+
+
+@query(
+    "m22_test_rows",
+    with_(_CHECKS, f"""select k as penalty, LeadStatus, count(*) as n from flagged, (values ('lasso'), ('ridge')) v(k)
+        where Study <> 'E' and {_DRAW.format(seed=2)} < 0.5 group by all"""),
+)
+def class_totals(spark, sf_dir):
+    """The class tables hold every test row once."""
+    return class_tables(spark, sf_dir).groupBy("penalty", "LeadStatus").agg(F.sum("n").alias("n"))

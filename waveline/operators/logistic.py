@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from waveline.operators.design import Design
-from waveline.operators.path_steps import descend
 from waveline.operators.moments import collect_matrices, cross_products, summed_matrices
 from waveline.operators.ols import independent_columns
+from waveline.operators.path_steps import descend
 
 
 @dataclass(frozen=True)
@@ -106,105 +106,171 @@ def predict(df: DataFrame, fit: LogisticFit, keep: Sequence[str], name: str = "p
 
 
 ALL_ROWS = -1
+#: Penalties that share a pass, passes with one curvature, and curvatures at most.
+CHUNK, PASSES, CURVATURES = 10, 6, 8
+#: Largest violation of an optimality condition, as a share of the largest penalty.
+SETTLED = 1e-4
+#: Added to the curvature, so that directions without any stay bounded, and rounds per step.
+DAMPING, ROUNDS = 1e-3, 12
 
 
 @dataclass(frozen=True)
 class PenalisedPath:
-    """Log loss on left-out folds and coefficients per penalty."""
+    """Log loss on left-out folds and coefficients per penalty.
+
+    ``violations`` are the largest ones of an optimality condition over all folds,
+    as a share of the largest penalty.
+    """
 
     design: Design
     penalties: list[float]
     log_loss: list[float]
     betas: list[np.ndarray]
-    steps: int
+    violations: list[float]
+    passes: int
     rows: int
 
+    @property
+    def settled(self) -> list[bool]:
+        return [v <= SETTLED for v in self.violations]
+
     def best_fit(self) -> LogisticFit:
         at = int(np.argmin(self.log_loss))
         kept = list(range(len(self.betas[at])))
-        return LogisticFit(self.design, kept, self.betas[at], float("nan"), self.steps, True, self.rows)
+        return LogisticFit(self.design, kept, self.betas[at], float("nan"), self.passes, self.settled[at], self.rows)
 
 
-def _penalised_sums(design: Design, response: str, fold: str, todo: list[tuple[str, int, np.ndarray]]):
-    """Per problem: X'WX, X'Wz on the training rows and the loss on the others."""
+def _curvatures(design: Design, response: str, fold: str, betas: dict[int, np.ndarray]):
+    """Per left-out fold: X'WX of the other rows."""
 
     def blocks(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         pdf = design.complete(pdf, response, fold)
-        x, y, folds = design.matrix(pdf), pdf[response].to_numpy(dtype=float), pdf[fold].to_numpy()
-        eta = x @ np.array([beta for _, _, beta in todo]).T
+        x, folds = design.matrix(pdf), pdf[fold].to_numpy()
         out = {}
-        for at, (name, left_out, _) in enumerate(todo):
-            mu = _probability(eta[:, at])
-            held = folds == left_out
-            w = np.where(held, 0.0, np.maximum(mu * (1 - mu), 1e-6))
-            xw = x * w[:, None]
-            right = xw.T @ eta[:, at] + x.T @ np.where(held, 0.0, y - mu)
-            loss = -np.log(np.maximum(np.where(y > 0.5, mu, 1 - mu), 1e-300))
-            tail = np.zeros((1, x.shape[1] + 1))
-            tail[0, 0] = loss[held].sum()
-            out[name] = np.vstack([np.column_stack([x.T @ xw, right]), tail])
+        for left_out, beta in betas.items():
+            mu = _probability(x @ beta)
+            w = np.where(folds == left_out, 0.0, np.maximum(mu * (1 - mu), 1e-6))
+            out[str(left_out)] = x.T @ (x * w[:, None])
         return out
 
     return blocks
 
 
+def _slopes(design: Design, response: str, fold: str, left_out: np.ndarray, betas: np.ndarray):
+    """Per problem, a column each: X'(mu - y) of the training rows, then the loss of the others."""
+
+    def blocks(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        pdf = design.complete(pdf, response, fold)
+        x, y, folds = design.matrix(pdf), pdf[response].to_numpy(dtype=float), pdf[fold].to_numpy()
+        mu = _probability(x @ betas.T)
+        held = folds[:, None] == left_out
+        right = np.where(y[:, None] > 0.5, mu, 1 - mu)
+        loss = np.sum(-np.log(np.maximum(right, 1e-300)) * held, axis=0)
+        return {"": np.vstack([x.T @ np.where(held, 0.0, mu - y[:, None]), loss])}
+
+    return blocks
+
+
+@dataclass
+class _Problem:
+    """One fit, in columns of unit variance: its fold, place on the path and coefficients."""
+
+    left_out: int
+    at: int
+    u: np.ndarray
+    violation: float = np.inf
+    loss: float = np.nan
+
+
 def penalised_path(
     df: DataFrame,
     design: Design,
     response: str,
-    penalties: Sequence[float],
     alpha: float,
     fold: str,
-    max_steps: int = 30,
-    tolerance: float = 1e-4,
+    penalties: Sequence[float] | None = None,
+    count: int = 100,
 ) -> PenalisedPath:
-    """Elastic-net logistic fits for all penalties and left-out folds at once.
+    """Elastic-net logistic fits for all penalties and left-out folds.
 
     The objective is the mean log loss plus the penalty of the lasso module.
-    Every Newton step of every fit shares one pass over the (stored) rows.
+    Without ``penalties`` there are ``count``, down from the one at which the
+    empty model is best. Neighbours on the path start from the fit before them
+    and share its curvature, so most passes over the (stored) rows only bring
+    gradients, for ten penalties and all folds at once.
     """
     rows = df.select(list(dict.fromkeys([*design.columns, response, fold])))
     products = {int(k): v for k, v in collect_matrices(cross_products(rows, design, response, fold)).items()}
     total = sum(products.values())
     left_out = [ALL_ROWS, *sorted(products)]
     training = {f: total - products[f] if f != ALL_ROWS else total for f in left_out}
-    spread = {}
+    size = {f: float(p[0, 0]) for f, p in training.items()}
+    scale, usable, start = {}, {}, {}
     for f, p in training.items():
-        variance = np.diag(p)[1:-1] / p[0, 0] - (p[0, 1:-1] / p[0, 0]) ** 2
-        spread[f] = np.sqrt(np.where(variance > 1e-10, variance, 0.0))
-    beta = {}
-    for f in left_out:
-        share = training[f][0, -1] / training[f][0, 0]
-        for k in range(len(penalties)):
-            beta[f, k] = np.zeros(len(total) - 1)
-            beta[f, k][0] = np.log(share / (1 - share))
-    loss, open_, steps = {}, list(beta), 0
-    for steps in range(1, max_steps + 1):
-        todo = [(str(i), f, beta[f, k]) for i, (f, k) in enumerate(open_)]
-        sums = collect_matrices(summed_matrices(rows, _penalised_sums(design, response, fold, todo)))
-        hs, cs, us, levels = [], [], [], []
-        for i, (f, k) in enumerate(open_):
-            m, n, s = sums[str(i)], training[f][0, 0], spread[f]
-            loss[f, k] = float(m[-1, 0])
-            h, c = m[:-1, :-1], m[:-1, -1]
-            used, scale = s > 0, np.where(s > 0, s, 1.0)
-            inner = (h[1:, 1:] - np.outer(h[1:, 0], h[0, 1:]) / h[0, 0]) / np.outer(scale, scale) / n
-            hs.append(np.where(np.outer(used, used), inner, 0.0))
-            cs.append(np.where(used, (c[1:] - h[1:, 0] * c[0] / h[0, 0]) / scale / n, 0.0))
-            us.append(beta[f, k][1:] * scale)
-            levels.append((h[0], c[0], scale))
-        size = np.array([penalties[k] for _, k in open_])
-        solved = descend(np.array(hs), np.array(cs), np.array(us), size * alpha, size * (1 - alpha))
-        moving = []
-        for u, old, (first, pull, scale), key in zip(solved, us, levels, open_):
-            slope = u / scale
-            new = np.concatenate([[(pull - first[1:] @ slope) / first[0]], slope])
-            if max(float(np.max(np.abs(u - old), initial=0.0)), abs(new[0] - beta[key][0])) > tolerance:
-                beta[key] = new
-                moving.append(key)
-        open_ = moving
-        if not open_:
-            break
-    n = float(total[0, 0])
-    losses = [sum(loss[f, k] for f in left_out if f != ALL_ROWS) / n for k in range(len(penalties))]
-    return PenalisedPath(design, list(penalties), losses, [beta[ALL_ROWS, k] for k in range(len(penalties))], steps, int(round(n)))
+        variance = np.diag(p)[:-1] / size[f] - (p[0, :-1] / size[f]) ** 2
+        usable[f] = variance > 1e-10
+        scale[f] = np.sqrt(np.where(usable[f], variance, 1.0))
+        usable[f][0] = True
+        share = min(max(p[0, -1] / size[f], 1e-6), 1 - 1e-6)
+        start[f] = np.zeros(len(total) - 1)
+        start[f][0] = np.log(share / (1 - share))
+    pull = np.abs(total[:-1, -1] - total[0, -1] / total[0, 0] * total[:-1, 0]) / size[ALL_ROWS] / scale[ALL_ROWS]
+    top = float(np.max(pull[1:][usable[ALL_ROWS][1:]], initial=1e-12)) / max(alpha, 1e-3)
+    if penalties is None:
+        penalties = np.geomspace(top, top * (1e-4 if size[ALL_ROWS] > len(total) else 1e-2), count)
+    ordered = np.array(sorted(map(float, penalties), reverse=True))
+    tolerance = SETTLED * max(alpha, 1e-3) * top
+
+    done: dict[tuple[int, int], _Problem] = {}
+    passes = 0
+    for first in range(0, len(ordered), CHUNK):
+        places = range(first, min(first + CHUNK, len(ordered)))
+        open_ = [_Problem(f, k, start[f].copy()) for f in left_out for k in places]
+        for _ in range(CURVATURES):
+            # The curvature of a fold is that of the first of its fits that is not settled.
+            lead = {p.left_out: p for p in reversed(open_)}
+            found = collect_matrices(summed_matrices(rows, _curvatures(design, response, fold, {f: p.u / scale[f] for f, p in lead.items()})))
+            h = {f: np.where(np.outer(usable[f], usable[f]), found[str(f)] / np.outer(scale[f], scale[f]) / size[f], 0.0) for f in lead}
+            h = {f: m + DAMPING * np.diag(usable[f]) for f, m in h.items()}
+            for _ in range(PASSES):
+                betas = np.array([p.u / scale[p.left_out] for p in open_])
+                folds = np.array([p.left_out for p in open_])
+                sums = collect_matrices(summed_matrices(rows, _slopes(design, response, fold, folds, betas)))[""]
+                passes += 1
+                slopes = []
+                for i, p in enumerate(open_):
+                    slope = np.where(usable[p.left_out], sums[:-1, i] / scale[p.left_out] / size[p.left_out], 0.0)
+                    l1, full = ordered[p.at] * alpha, slope + np.where(np.arange(len(slope)) > 0, ordered[p.at] * (1 - alpha) * p.u, 0.0)
+                    off = np.where(p.u != 0, np.abs(full + l1 * np.sign(p.u)), np.maximum(np.abs(full) - l1, 0.0))
+                    p.violation, p.loss = float(max(np.max(off[1:], initial=0.0), abs(full[0]))), float(sums[-1, i])
+                    slopes.append(slope)
+                still = [i for i, p in enumerate(open_) if p.violation > tolerance]
+                done.update({(p.left_out, p.at): p for p in open_})
+                open_, slopes = [open_[i] for i in still], [slopes[i] for i in still]
+                if not open_:
+                    break
+                _move(open_, slopes, h, ordered, alpha)
+            if not open_:
+                break
+        start = {f: done[f, places[-1]].u for f in left_out}
+    n = size[ALL_ROWS]
+    at = range(len(ordered))
+    losses = [sum(done[f, k].loss for f in left_out if f != ALL_ROWS) / n for k in at]
+    worst = [max(done[f, k].violation for f in left_out) / (max(alpha, 1e-3) * top) for k in at]
+    fits = [done[ALL_ROWS, k].u / scale[ALL_ROWS] for k in at]
+    return PenalisedPath(design, ordered.tolist(), losses, fits, worst, passes, int(round(n)))
+
+
+def _move(problems: list[_Problem], slopes: list[np.ndarray], h: dict[int, np.ndarray], penalties: np.ndarray, alpha: float) -> None:
+    """Bring every problem to the least point of its quadratic model, in place."""
+    inner, pulls = [], []
+    for p, slope in zip(problems, slopes, strict=True):
+        m = h[p.left_out]
+        c = m @ p.u - slope
+        inner.append(m[1:, 1:] - np.outer(m[1:, 0], m[0, 1:]) / m[0, 0])
+        pulls.append((c, c[1:] - m[1:, 0] * c[0] / m[0, 0]))
+    size = np.array([penalties[p.at] for p in problems])
+    found = descend(np.array(inner), np.array([c for _, c in pulls]), np.array([p.u[1:] for p in problems]), size * alpha, size * (1 - alpha), ROUNDS)
+    for p, (c, _), u in zip(problems, pulls, found, strict=True):
+        m = h[p.left_out]
+        p.u = np.concatenate([[(c[0] - m[0, 1:] @ u) / m[0, 0]], u])

@@ -121,7 +121,7 @@ def _settle(h: np.ndarray, c: np.ndarray, u: np.ndarray, l1: float, l2: float) -
     return u, bool(np.max(pull, initial=0.0) <= l1 + KKT_TOLERANCE)
 
 
-def descend(h: np.ndarray, c: np.ndarray, u: np.ndarray, l1: np.ndarray, l2: np.ndarray) -> np.ndarray:
+def descend(h: np.ndarray, c: np.ndarray, u: np.ndarray, l1: np.ndarray, l2: np.ndarray, rounds: int = MAX_ROUNDS) -> np.ndarray:
     """Coordinate descent on many small problems side by side.
 
     Minimises u'Hu/2 - c'u + l1 |u| + l2 u^2/2 per problem. A few sweeps find
@@ -131,7 +131,7 @@ def descend(h: np.ndarray, c: np.ndarray, u: np.ndarray, l1: np.ndarray, l2: np.
     diagonal = np.einsum("mii->mi", h)
     usable = diagonal > SMALLEST_PIVOT
     open_ = np.arange(len(u))
-    for _ in range(MAX_ROUNDS):
+    for _ in range(rounds):
         ho, uo, lo, ridge = h[open_], u[open_], l1[open_], l2[open_]
         gradient = c[open_] - np.einsum("mij,mj->mi", ho, uo)
         for _ in range(SWEEPS_PER_ROUND):

@@ -97,7 +97,7 @@ def check_features(panel: DataFrame, scope: str = "table", spread: str = "table"
     return df.withColumn("LeadStatus", label).drop("SiteID", "RaterID")
 
 
-# Items of the interaction, flags of the model, and the cut.
+# Items of the interaction, flags of the model, and the cuts.
 CROSSED_ITEMS = ["P1", "P3", "P5", "G5", "LagP1", "LagP3", "LagP5", "LagG5"]
 MODEL_FLAGS = [
     "FlagInconsistentComposite",
@@ -110,6 +110,7 @@ MODEL_FLAGS = [
 ]
 CHANGE_FLAG_ITEMS = [*P_ITEMS, *N_ITEMS]
 PASS_CUT = 0.8
+LIKELIER = 0.5
 TEST_SHARE = 0.5
 LABEL_STUDIES = "Study <> 'E'"
 TARGET_STUDY = "Study = 'E'"
@@ -184,7 +185,7 @@ def given_probability(intercept: float, weights: dict[str, float]) -> Column:
 PENALTY_FOLDS = 10
 
 
-def penalised_check(checks: DataFrame, alpha: float, penalties: Sequence[float], seed: int = 2) -> PenalisedPath:
+def penalised_check(checks: DataFrame, alpha: float, count: int = 100, seed: int = 2) -> PenalisedPath:
     """Cross-validated logistic regression with an L1 (1) or L2 (0) penalty.
 
     Folds come from the row key, so a repeated run sees the same folds.
@@ -192,9 +193,16 @@ def penalised_check(checks: DataFrame, alpha: float, penalties: Sequence[float],
     rows = labelled_rows(checks)
     train = split_rows(rows, "AssessmentID", TEST_SHARE, seed)[1]
     train = train.withColumn("_fold", fold_of("AssessmentID", PENALTY_FOLDS, seed + 4))
-    return logistic.penalised_path(train, check_design(rows), "passed", penalties, alpha, "_fold")
+    return logistic.penalised_path(train, check_design(rows), "passed", alpha, "_fold", count=count)
 
 
 def penalised_probabilities(rows: DataFrame, path: PenalisedPath) -> DataFrame:
     """Pass probability of each assessment under the best penalised model."""
     return logistic.predict(rows, path.best_fit(), ["AssessmentID"])
+
+
+def penalised_classes(checks: DataFrame, path: PenalisedPath, seed: int = 2) -> DataFrame:
+    """The test rows with the likelier class under the best penalised model."""
+    test = split_rows(labelled_rows(checks), "AssessmentID", TEST_SHARE, seed)[0]
+    scored = logistic.predict(test, path.best_fit(), ["AssessmentID", "LeadStatus"])
+    return scored.withColumn("class", threshold_class("probability", LIKELIER))
