@@ -126,7 +126,8 @@ def best_overlap(a, b):
     best = 0
     for shift in range(-len(b) + 1, len(a)):
         same = [0 <= j + shift < len(a) and a[j + shift] == w for j, w in enumerate(b)]
-        if not any(all(same[p + i] for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for p in range(len(b) - len(m) + 1) if 0 <= p + shift <= len(a) - len(m)):
+        short = len(b) < decontaminate.SHORT and 0 <= shift <= len(a) - len(b) and len(b) - sum(same) <= (len(b) >= decontaminate.ONE_GAP)
+        if not short and not any(all(same[p + i] for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for p in range(len(b) - len(m) + 1) if 0 <= p + shift <= len(a) - len(m)):
             continue
         now = 0
         for j, w in enumerate(b):
@@ -141,6 +142,7 @@ def test_leaks(spark, block_words):
     rng = random.Random(9)
     word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa la mu".split())
     items = [(i, [word() for _ in range(n)]) for i, n in enumerate([30, 25, 15, 40, 9])]
+    items += [(20, "five words stand here once".split()), (21, "six other words that stand there".split()), (22, ["solitary"])]
     docs = []
     for i in range(40):
         words = [word() for _ in range(rng.randrange(60))]
@@ -151,9 +153,10 @@ def test_leaks(spark, block_words):
             at = rng.randrange(len(words) + 1)
             words[at:at] = passage
         docs.append((i, ", ".join(words).upper()))
+    docs += [(200, "x Five words stand here once"), (201, "five words CHANGED here once, six changed words that stand there"), (202, "five words once here"), (203, "a solitary one")]
     docs += [(100, None), (101, ""), (None, " ".join(items[0][1])), (102, "mu " * 40_000 + " ".join(items[3][1]))]
     frame = spark.createDataFrame([(*r, 1) for r in docs + docs[:2]], "doc_id long, text string, item_id int")
-    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(9, None), (8, "too short"), (0, " ".join(items[0][1]))], "item_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(9, None), (8, ""), (0, " ".join(items[0][1]))], "item_id long, text string")
     found = {(r.doc_id, r.item_id): r.overlap for r in decontaminate.leaks(frame, bench, block_words).collect()}
     want = {}
     for d, t in docs:
@@ -168,3 +171,12 @@ def test_leaks(spark, block_words):
     assert kept.columns == frame.columns
     assert decontaminate.leaks(frame.limit(0), bench).count() == 0
     assert decontaminate.leaks(frame, bench.limit(0)).count() == 0
+
+
+def test_role_with_line_breaks_and_control_strings_comes_back(spark):
+    roles = ["two\nlines", "\n", "a\r\nb", "<br>", "<\\br>\n<br>", "</s>\n<s>", "plain", None]
+    events = spark.createDataFrame([(1, i, "message", i, r, f"t<br>{i}\n") for i, r in enumerate(roles)], "conv_id long, seq int, event string, message_id long, role string, text string")
+    formatted = chat.format_conversations(events)
+    turns = chat.read_back(formatted).first().turns
+    assert [t.role for t in turns] == [r or "" for r in roles]
+    assert [t.text for t in turns] == [f"t<br>{i}\n" for i in range(len(roles))]

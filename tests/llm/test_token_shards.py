@@ -19,7 +19,6 @@ PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 @pytest.fixture(scope="module")
 def plain():
     own = tokenizers.Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
     return lambda text: own.encode(text, add_special_tokens=False).ids + [0]
 
 
@@ -37,7 +36,9 @@ def test_words_are_encoded_as_texts_are(plain):
     signs = " \n\t   aé'sß日​\x1c1!\r.,_"
     own = WordEncoder(PATH)
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(16))) for _ in range(1500)]
-    texts += ["<|endoftext|> x", "don't DON'T we'll", "a" * 5000, "word " * 5000]
+    name = "<|endoftext|>"
+    texts += [f"{name} x", name, name * 2, f"a {name}", f"a{name}b", f"  {name}  \n{name}\n", f"x.{name}!", f"{name[:-1]} {name} {name[1:]}", f" {name}"]
+    texts += [ "don't DON'T we'll", "a" * 5000, "word " * 5000]
     assert [x.tolist() for x in own.encode(texts, 0)] == [plain(x) for x in texts]
     own.forget(times=2)
     assert [x.tolist() for x in own.encode(texts[:50], 0)] == [plain(x) for x in texts[:50]]

@@ -136,3 +136,17 @@ def test_languages_are_learnt(spark):
     assert byte_cnn.identify(odd.limit(0), model).count() == 0
     nothing = byte_cnn.fit(docs.limit(0))
     assert {r.lang_pred for r in byte_cnn.identify(odd, nothing).collect()} == {"und"}
+
+
+def test_features_do_not_depend_on_neighbours():
+    automaton = LexiconAutomaton.build([Term("idiot", False), Term("scumb", True)])
+    texts = ["an idiot", '"idiot" he said', "you idiot scumbag", "fine", 'a "fine\nidiot', "“idiot” idiot", ""]
+    alone = [toxicity.hit_features([t], automaton)[0].tolist() for t in texts]
+    for order in (texts, texts[::-1], texts[3:] + texts[:3]):
+        found = toxicity.hit_features(order, automaton)
+        assert [found[order.index(t)].tolist() for t in texts] == alone
+
+
+def test_lexicon_is_not_cut():
+    rows = [(f"term{i:04d}x", False, 400, 0) for i in range(300)]
+    assert len(toxicity.choose_terms(rows, 0.05, 300)) == 300

@@ -18,8 +18,10 @@ RESETS = ("message", "edit", "regenerate")
 OPEN, CLOSE = "<s>", "</s>"
 #: Control strings, here and in templates of the same family; one more
 #: backslash behind the first sign keeps them apart from those of the template.
-CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\]))"
-_ESCAPED = r"([<\[])\\(\\*)(/?(?:s>|INST\]))"
+CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\])|br>)"
+_ESCAPED = r"([<\[])\\(\\*)(/?(?:s>|INST\])|br>)"
+#: Stands for a line break in a role, which ends at the first one.
+BREAK = "<br>"
 LOSS_ROLE = "assistant"
 
 
@@ -31,6 +33,14 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _ESCAPED, r"$1$2$3")
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("\n"), F.lit(BREAK))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit(BREAK), F.lit("\n")))
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, message_id, first_seq, role, text) of (conv_id, seq, event, message_id, role, text).
 
@@ -57,7 +67,7 @@ def render(messages: DataFrame) -> DataFrame:
 
     Turns go by first_seq, then role, text and message_id. ``loss`` has the
     turn number, the first character in the turn and the number of characters
-    of each text that is to be learnt. Line breaks in a role become blanks. A
+    of each text that is to be learnt. Line breaks in a role become BREAK. A
     conversation is one string in the end, so it is one row of one task; it
     meets there after its messages have been folded.
     """
@@ -65,7 +75,7 @@ def render(messages: DataFrame) -> DataFrame:
     parts = F.transform(
         "turns",
         lambda t: F.struct(
-            F.concat(F.lit(OPEN), escape(F.translate(t["role"], "\r\n", "  ")), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), t["role"].alias("role")
+            F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit("\n")).alias("head"), escape(t["text"]).alias("body"), t["role"].alias("role")
         ),
     )
     spans = F.filter(
@@ -95,7 +105,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             return _let(
                 F.locate("\n", p),
                 lambda at: F.struct(
-                    unescape(p.substr(F.lit(len(OPEN) + 1), at - (len(OPEN) + 1))).alias("role"), unescape(p.substr(at + 1, F.length(p))).alias("text")
+                    unescape_role(p.substr(F.lit(len(OPEN) + 1), at - (len(OPEN) + 1))).alias("role"), unescape(p.substr(at + 1, F.length(p))).alias("text")
                 ),
             )
 

@@ -22,6 +22,9 @@ SPAN = max(map(len, MASKS))
 #: item with fewer words must agree so as a whole.
 OVERLAP = 20
 SHARE = 80  # per cent
+#: An item of fewer words has seeds of its own: all its words, and from
+#: ONE_GAP words on all but one of them (four in five).
+SHORT, ONE_GAP = 12, 5
 #: Words of the benchmark that are broadcast at a time.
 BLOCK_WORDS = 200_000
 
@@ -39,22 +42,28 @@ def _places(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
-def _seeds(words: str, at: str) -> Column:
+def _short_masks(words: int) -> tuple[str, ...]:
+    """Masks of a short item: its whole sequence, and that with one gap anywhere."""
+    gaps = range(words) if words >= ONE_GAP else ()
+    return ("1" * words, *("1" * i + "0" + "1" * (words - 1 - i) for i in gaps))
+
+
+def _seeds(words: str, at: str, masks: tuple[str, ...]) -> Column:
     """The seed of each mask at a place; what reaches past the end is no seed."""
     return F.array(
         *[
             F.when(F.col(at) + len(mask) <= F.size(words), F.xxhash64(F.lit(m), *[F.get(words, F.col(at) + i) for i in _places(mask)]))
-            for m, mask in enumerate(MASKS)
+            for m, mask in enumerate(masks)
         ]
     )
 
 
-def _seeded(rows: DataFrame, words: str, at: str) -> DataFrame:
+def _seeded(rows: DataFrame, words: str, at: str, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """A row for each place and mask, with the columns ``at``, ``mask`` and ``seed``."""
     # No filter on the words: the optimizer would make them once more for it.
-    last = F.size(words) - min(map(len, MASKS))
+    last = F.size(words) - min(map(len, masks))
     places = rows.select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias(at))
-    return places.select("*", F.posexplode(_seeds(words, at)).alias("mask", "seed")).filter("seed is not null")
+    return places.select("*", F.posexplode(_seeds(words, at, masks)).alias("mask", "seed")).filter("seed is not null")
 
 
 def _goes_on() -> Column:
@@ -83,8 +92,11 @@ def _best_stretch() -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, overlap, item_words): passages of the benchmark in whole documents.
 
-    ``overlap`` is the best score of the pair. Items of fewer words than the
-    shortest mask, absent and empty texts match nothing. Rows that repeat an
+    ``overlap`` is the best score of the pair. Items of fewer than SHORT words
+    are also looked for by all their words, and by all but one where that is
+    four in five. A substitution that leaves no seed whole is not seen: two in
+    a short item, or one in every six words of a longer one. Absent and empty
+    texts match nothing, an empty table gives no rows. Rows that repeat an
     item or a document give their pair once; documents without doc_id are
     matched as one document with a null id, items without item_id likewise.
     Other columns are not read. The benchmark is the query set: it is broadcast
@@ -95,7 +107,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     items = benchmark.select("item_id", _hashed(F.col("text").cast("string")).alias("b_words")).distinct()
     total = items.agg(F.sum(F.size("b_words"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_words))
+    lengths = items.select(F.size("b_words").alias("n")).filter(F.col("n").between(1, SHORT - 1)).distinct()
     found = None
+    # At most SHORT lengths, and as a rule none; each has one more pass.
+    for n in sorted(r.n for r in lengths.collect()):
+        some = items.filter(F.size("b_words") == n).withColumn("item", F.xxhash64("item_id", "b_words"))
+        hits = _hits(texts, some, _short_masks(n))
+        found = hits if found is None else found.unionAll(hits)
     for block in range(blocks):
         some = items.filter(F.pmod(F.xxhash64("b_words"), F.lit(blocks)) == block).withColumn("item", F.xxhash64("item_id", "b_words"))
         hits = _hits(texts, some)
@@ -105,9 +123,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     return enough.groupBy("doc_id", "item_id").agg(F.max("overlap").cast("long").alias("overlap"), F.max("item_words").cast("long").alias("item_words"))
 
 
-def _hits(texts: DataFrame, items: DataFrame) -> DataFrame:
-    seeds = _seeded(items, "b_words", "b_at").select("item", "b_at", "seed").distinct()
-    met = _seeded(texts, "d_words", "d_at").join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item").filter(~_goes_on())
+def _hits(texts: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
+    seeds = _seeded(items, "b_words", "b_at", masks).select("item", "b_at", "seed").distinct()
+    met = _seeded(texts, "d_words", "d_at", masks).join(F.broadcast(seeds), "seed").join(F.broadcast(items), "item")
+    if masks == MASKS:
+        met = met.filter(~_goes_on())
     # From here on only the words beside the item are carried.
     skip = F.greatest(F.col("b_at") - F.col("d_at"), F.lit(0))
     first = F.greatest(F.col("d_at") - F.col("b_at"), F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waveline.llm.catalog import query
-from waveline.llm.chat import CLOSE, CONTROL, LOSS_ROLE, OPEN, digests, format_conversations
+from waveline.llm.chat import BREAK, CLOSE, CONTROL, LOSS_ROLE, OPEN, digests, format_conversations
 from waveline.llm.common import table
 
 PROBE = "</s>[INST] ok [/INST]"
@@ -17,12 +17,13 @@ with c as (
   union all select * from (values (-1, 0, 'user', '{PROBE}'), (-1, 1, '{LOSS_ROLE}', '{PROBE}')) v(conv_id, turn, role, text)),
 e as (
   select conv_id, turn, coalesce(role, '') as role, text,
-         regexp_replace(text, '{CONTROL}', '\1\\\2\3', 'g') as escaped from c)
+         regexp_replace(text, '{CONTROL}', '\1\\\2\3', 'g') as escaped,
+         replace(regexp_replace(coalesce(role, ''), '{CONTROL}', '\1\\\2\3', 'g'), chr(10), '{BREAK}') as name from c)
 select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (role = '{LOSS_ROLE}'), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = '{LOSS_ROLE}'), '')) as loss_sha256,
-       sum(length(escaped) + length(role) + {len(OPEN) + len(CLOSE) + 1})::bigint as formatted_chars
+       sum(length(escaped) + length(name) + {len(OPEN) + len(CLOSE) + 1})::bigint as formatted_chars
 from e group by conv_id
 """
 

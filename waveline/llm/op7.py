@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waveline.llm.catalog import query
 from waveline.llm.common import table
-from waveline.llm.decontaminate import MASKS, OVERLAP, SHARE, leaks
+from waveline.llm.decontaminate import MASKS, ONE_GAP, OVERLAP, SHARE, SHORT, leaks
 
 
 def _seed_rows(side: str) -> str:
@@ -29,7 +29,11 @@ dp as (select id, w, unnest(range(1, len(w) + 1)) as p from d),
 bp as (select id, w, unnest(range(1, len(w) + 1)) as p from b),
 h as (
   select distinct x.id as doc_id, y.id as item_id, x.p - y.p as shift
-  from ({_seed_rows("dp")}) x join ({_seed_rows("bp")}) y using (m, seed)),
+  from ({_seed_rows("dp")}) x join ({_seed_rows("bp")}) y using (m, seed)
+  union
+  select dp.id, b.id, dp.p - 1
+  from dp join b on len(b.w) between 1 and {SHORT - 1} and dp.p + len(b.w) - 1 <= len(dp.w)
+  where len(list_filter(range(1, len(b.w) + 1), lambda i: dp.w[dp.p + i - 1] <> b.w[i])) <= (len(b.w) >= {ONE_GAP})::int),
 a as (
   select h.doc_id, h.item_id, h.shift, bp.p, len(bp.w) as item_words,
          case when d.w[bp.p + shift] = bp.w[bp.p] then 1 else -1 end as v

@@ -77,7 +77,7 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
     return F.coalesce(
-        _let(hashed, lambda h: _let(F.array_sort(windows(h)), lambda s: _let(F.array_sort(F.transform(twice(s), lambda x: x["at"])), covered))),
+        _let(hashed, lambda h: _let(F.sort_array(windows(h)), lambda s: _let(F.sort_array(F.transform(twice(s), lambda x: x["at"])), covered))),
         F.lit(0).cast("long"),
     )
 

@@ -204,7 +204,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     """Documents with the two columns that name one: its id, and a hash of its text in case ids repeat."""
     bounded_batches(docs.sparkSession)
     return docs.selectExpr(
-        f"coalesce(cast(doc_id as long), {NO_KEY + 1}L - 1L) as doc_id", "xxhash64(cast(text as string)) & 2147483647L as tie", "cast(text as string) as text"
+        f"coalesce(cast(doc_id as long), {NO_KEY + 1}L - 1L) as doc_id", "xxhash64(cast(text as string)) as tie", "cast(text as string) as text"
     )
 
 
@@ -379,7 +379,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     key, tie, where = (unused(docs, name) for name in ("_key", "_tie", "_spans"))
     spans = repeated_spans(docs, length).select(F.col("doc_id").alias(key), F.col("tie").alias(tie), F.col("spans").alias(where))
-    own = F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(2147483647))
+    own = F.xxhash64(F.col("text").cast("string"))
     keyed = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_KEY)), tie: own})
     joined = keyed.join(spans, [key, tie], "left")
 

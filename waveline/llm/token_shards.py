@@ -52,8 +52,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Names of special tokens in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        # Names of added tokens in a text are those tokens; the text between them is split on its own.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("this vocabulary has added tokens that reach beyond their names")
+        self.names = frozenset(t.content for t in added)
+        longest_first = sorted(self.names, key=len, reverse=True)
+        self.name = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
         self.newline = self._plain(["\n"])[0][0]
         self.known = Numbers()
         self.flat, self.starts, self.sizes = (np.zeros(0, np.int32) for _ in range(3))
@@ -67,8 +72,14 @@ class WordEncoder:
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def cut(self, text: str) -> list[str]:
+        if not self.name or not self.name.search(text):
+            return self._words(text)
+        parts = self.name.split(text)
+        return [w for i, part in enumerate(parts) if part for w in ([part] if i % 2 else self._words(part))]
+
     @staticmethod
-    def cut(text: str) -> list[str]:
+    def _words(text: str) -> list[str]:
         if _SPACES.search(text):
             head, *rest = _BEFORE_WORD.split(text)
             return [head] * bool(head) + [" " + w for w in rest]
@@ -84,7 +95,7 @@ class WordEncoder:
 
     def learn(self, words: list[str]) -> None:
         """Remember the ids of new words; signs behind a letter are pieces of their own."""
-        tails = {w: m.groups() for w in words if (m := _WITH_TAIL.fullmatch(w))}
+        tails = {w: m.groups() for w in words if (m := _WITH_TAIL.fullmatch(w)) and w not in self.names}
         whole = set(words) - tails.keys()
         whole.update(part for parts in tails.values() for part in parts)
         self._remember([w for w in whole if w not in self.known])
@@ -94,8 +105,8 @@ class WordEncoder:
         self._append(list(tails), self.flat[index], n.reshape(-1, 2).sum(axis=1).astype(np.int32))
 
     def _remember(self, words: list[str]) -> None:
-        clean = [w for w in words if _CLEAN.fullmatch(w)]
-        other = [w for w in words if not _CLEAN.fullmatch(w)]
+        clean = [w for w in words if w not in self.names and _CLEAN.fullmatch(w)]
+        other = [w for w in words if w in self.names or not _CLEAN.fullmatch(w)]
         # A line break between two words is always a piece of its own.
         parts = [clean[i : i + 200] for i in range(0, len(clean), 200)]
         ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]

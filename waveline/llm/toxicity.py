@@ -25,10 +25,9 @@ from waveline.llm.levenshtein import NEAR_STEM, NEAR_WORD, LexiconAutomaton, Ter
 #: Labelled texts that the lexicon and the weights are learnt from at most.
 SAMPLE = 16_000
 MARGIN = 4
-#: Letters of stems that are tried, terms that are kept at most, and the chance, over all terms
-#: tried, that one is kept whose texts are toxic without cause.
+#: Letters of stems that are tried, and the chance, over all terms tried, that one is kept whose
+#: texts are toxic without cause.
 STEM_LETTERS = range(4, 9)
-MAX_TERMS = 100
 CHANCE = 0.1
 MIN_TEXTS = 5
 #: Words around a hit that are looked at.
@@ -99,9 +98,16 @@ def _part_features(texts: list[str], automaton: LexiconAutomaton) -> np.ndarray:
     straight = np.cumsum(points == 34)
     curved = np.cumsum(np.isin(points, [0x201C, 0x201E, 0xAB])) - np.cumsum(np.isin(points, [0x201D, 0xBB]))
     spot = start[hits]
-    quoted = ((straight[spot] - straight[line[spot]]) % 2 == 1) | (curved[spot] - curved[line[spot]] > 0)
+    # The first line of a part begins without a line break.
+    begin = line[spot]
+    before = [np.where(points[begin] == 10, x[begin], 0) for x in (straight, curved)]
+    quoted = ((straight[spot] - before[0]) % 2 == 1) | (curved[spot] - before[1] > 0)
     doc = word_doc[hits]
-    near_hits = np.searchsorted(hits, hits + WINDOW, "right") - np.searchsorted(hits, hits - WINDOW, "left") - 1
+    # Only words of the same document are near.
+    first_word = np.cumsum(n_words) - n_words
+    low = np.maximum(hits - WINDOW, first_word[doc])
+    high = np.minimum(hits + WINDOW, first_word[doc] + n_words[doc] - 1)
+    near_hits = np.searchsorted(hits, high, "right") - np.searchsorted(hits, low, "left") - 1
     near = np.isin(kind[hits], [NEAR_WORD, NEAR_STEM])
     abuse = np.zeros(len(hits))
     for i, (w, d) in enumerate(zip(hits.tolist(), doc.tolist())):
@@ -169,8 +175,6 @@ def choose_terms(rows: list[tuple[str, bool, int, int]], share: float, tried: in
         count[term] = t
         if stem:
             stems.add(term)
-        if len(chosen) == MAX_TERMS:
-            break
     return chosen
 
 
