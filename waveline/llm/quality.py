@@ -6,6 +6,8 @@ too much of its text is rejected. Counts over the whole text come beside it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,17 @@ MAX_REPEATED = 30  # per cent of the words
 SENTENCE_END = r"""[.!?…。！？:;,"'”’»)\]]\s*$"""
 #: The end of a sentence inside a line.
 SENTENCE = r"[.!?…。！？]\s"
-#: A line of separators between short labels, or one that leads elsewhere.
-NAVIGATION = (
-    r"(?i)(\S+\s*[|›»>•·]\s*){3,}|^\s*(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|"
+#: A line of separators between short labels, which has three of SEPARATORS at least.
+SEPARATORS = "|›»>•·"
+MENU = r"(\S+\s*[|›»>•·]\s*){3,}"
+#: A line that leads elsewhere.
+LINK = (
+    r"(?i)^\s*(home|menu|login|log in|sign in|sign up|register|search|next|previous|back to top|"
     r"skip to content|read more|share|tweet|follow us|subscribe|contact us|about us|site map)\s*[|›»>.!]*\s*$"
 )
+NAVIGATION = f"(?i){MENU}|{LINK.removeprefix('(?i)')}"
+#: Words of which each notice of BOILERPLATE has one.
+NOTICE_WORDS = ("cookie", "privacy", "terms ", "rights", "javascript", "click", "lorem", "powered", "newsletter", "follow", "share")
 #: Notices that many pages carry.
 BOILERPLATE = (
     r"(?i)\b(cookies? (policy|settings)|uses? cookies|accept (all )?cookies|privacy policy|terms (of (use|service)|and conditions)|"
@@ -103,11 +111,17 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with words is navigation, boilerplate, machine text or words without any end of a sentence."""
+    """Whether a line with words is navigation, boilerplate, machine text or words without any end of a sentence.
+
+    What is cheap and rules a pattern out comes before the pattern.
+    """
     chars = F.length(line)
     symbols = chars - F.length(F.translate(line, SYMBOLS, ""))
-    fragment = ~line.rlike(SENTENCE_END) & ~line.rlike(SENTENCE) & (F.size(F.split(F.trim(line), r"\s+")) > SHORT_LINE)
-    return line.rlike(NAVIGATION) | line.rlike(BOILERPLATE) | (symbols > MAX_SYMBOLS * chars) | fragment
+    menu = (chars - F.length(F.translate(line, SEPARATORS, "")) > 2) & line.rlike(MENU)
+    lower = F.lower(line)
+    notice = reduce(lambda a, b: a | b, [lower.contains(w) for w in NOTICE_WORDS]) & line.rlike(BOILERPLATE)
+    fragment = ~line.rlike(SENTENCE) & ~line.rlike(SENTENCE_END) & (F.size(F.split(F.trim(line), r"\s+")) > SHORT_LINE)
+    return (symbols > MAX_SYMBOLS * chars) | menu | line.rlike(LINK) | notice | fragment
 
 
 def clean_lines(docs: DataFrame, max_loss: float = MAX_LOSS) -> DataFrame:
