@@ -10,9 +10,8 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,26 +24,28 @@ from waveline.llm.perfect_hash import PerfectHash, fingerprint
 
 #: Ids of a shard, about; a longer document is a shard of its own.
 SHARD_IDS = 1 << 20
-#: Words whose ids a Python worker remembers, and characters of text that it cuts at once.
+#: Words whose ids a Python worker remembers, and bytes of text that it cuts at once.
 REMEMBERED = 600_000
-PART = 4_000_000
+PART = 8_000_000
 #: Where a document has no id.
 NO_KEY = -(1 << 63)
 
 SHARD = "part int, seq int, first_key long, last_key long, n_docs long, n_ids long, before long, width int, keys binary, offsets binary, hash binary, slots binary, ids binary"
 
 _CLEAN = re.compile(r" ?\S+")
-_WITH_TAIL = re.compile(r"(.*[^\W\d_])([!-/:-@\[-`{-~]+)")
-_SPACES = re.compile(r"\s\s")
-_BEFORE_WORD = re.compile(r" (?=\S)")
+_SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes that surely begin a character other than white space.
+_VISIBLE = np.zeros(256, bool)
+_VISIBLE[[*range(0x21, 0x7F), 0xC3, *range(0xC4, 0xE1), *range(0xE4, 0xF5)]] = True
 
 
 class WordEncoder:
     """Ids of byte-level BPE texts, word by word.
 
     The splitting pattern of this kind of vocabulary never joins a character to
-    white space behind it, and a space before a word always begins a new piece.
-    So a text can be cut there, and each distinct word is encoded once.
+    white space behind it, and a blank or line break before a visible character
+    always begins a new piece. So a text can be cut there, on its bytes and for
+    many texts at once, and each distinct word is encoded once.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,9 +57,9 @@ class WordEncoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         if any(t.lstrip or t.rstrip or t.single_word for t in added):
             raise ValueError("this vocabulary has added tokens that reach beyond their names")
-        self.names = frozenset(t.content for t in added)
+        self.names = frozenset(t.content.encode() for t in added)
         longest_first = sorted(self.names, key=len, reverse=True)
-        self.name = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
+        self.name = re.compile(b"|".join(map(re.escape, longest_first))) if longest_first else None
         self.newline = self._plain(["\n"])[0][0]
         self.known = Numbers()
         self.flat, self.starts, self.sizes = (np.zeros(0, np.int32) for _ in range(3))
@@ -72,30 +73,33 @@ class WordEncoder:
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def cut(self, text: str) -> list[str]:
-        if not self.name or not self.name.search(text):
-            return self._words(text)
-        parts = self.name.split(text)
-        return [w for i, part in enumerate(parts) if part for w in ([part] if i % 2 else self._words(part))]
-
-    @staticmethod
-    def _words(text: str) -> list[str]:
-        if _SPACES.search(text):
-            head, *rest = _BEFORE_WORD.split(text)
-            return [head] * bool(head) + [" " + w for w in rest]
-        words: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                words.append("\n")
-            head, *rest = line.split(" ")
-            if head:
-                words.append(head)
-            words += [" " + w for w in rest]
-        return words
-
-    def learn(self, words: list[str]) -> None:
+    def cuts(self, data: bytes, starts: np.ndarray) -> np.ndarray:
+        """Where words begin in texts that lie one behind the other and begin at ``starts``."""
+        raw = np.frombuffer(data, np.uint8)
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[starts] = True
+        at = np.flatnonzero((raw[:-1] == 32) | (raw[:-1] == 10))
+        # White space at the end of a text is one piece, whatever the next text begins with.
+        at = at[_VISIBLE[raw[at + 1]] & ~begins[at + 1]]
+        words = begins.copy()
+        words[at] = True
+        words[at[raw[at] == 10] + 1] = True
+        for found in self.name.finditer(data) if self.name else ():
+            i, j = found.span()
+            if begins[i + 1 : j].any():
+                continue
+            # So is white space before the name of an added token.
+            words[max(i - 1, 0) : j] = begins[max(i - 1, 0) : j]
+            words[[i, j]] = True
+        return np.flatnonzero(words[:-1])
+
+    def learn(self, words: list[bytes]) -> None:
         """Remember the ids of new words; signs behind a letter are pieces of their own."""
-        tails = {w: m.groups() for w in words if (m := _WITH_TAIL.fullmatch(w)) and w not in self.names}
+        tails = {}
+        for w in words:
+            head = w.rstrip(_SIGNS)
+            if len(head) < len(w) and head[-1:].isalpha() and w not in self.names:
+                tails[w] = head, w[len(head) :]
         whole = set(words) - tails.keys()
         whole.update(part for parts in tails.values() for part in parts)
         self._remember([w for w in whole if w not in self.known])
@@ -104,25 +108,26 @@ class WordEncoder:
         index = np.repeat(self.starts[pairs].ravel() - (np.cumsum(n) - n), n) + np.arange(n.sum())
         self._append(list(tails), self.flat[index], n.reshape(-1, 2).sum(axis=1).astype(np.int32))
 
-    def _remember(self, words: list[str]) -> None:
-        clean = [w for w in words if w not in self.names and _CLEAN.fullmatch(w)]
-        other = [w for w in words if w in self.names or not _CLEAN.fullmatch(w)]
+    def _remember(self, words: list[bytes]) -> None:
+        texts = {w: w.decode("utf-8", "replace") for w in words}
+        clean = [w for w, t in texts.items() if w not in self.names and _CLEAN.fullmatch(t)]
+        other = list(texts.keys() - set(clean))
         # A line break between two words is always a piece of its own.
         parts = [clean[i : i + 200] for i in range(0, len(clean), 200)]
         ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-        for part, found in zip(parts, self._plain(["\n".join(p) for p in parts])):
+        for part, found in zip(parts, self._plain(["\n".join(texts[w] for w in p) for p in parts])):
             got = np.array(found, np.int32)
             breaks = np.flatnonzero(got == self.newline)
             if len(breaks) != len(part) - 1:
                 raise ValueError("this vocabulary does not keep line breaks apart")
             ids.append(np.delete(got, breaks))
             sizes.append(np.diff(np.r_[-1, breaks, len(got)]).astype(np.int32) - 1)
-        for found in self._plain(other):
+        for found in self._plain([texts[w] for w in other]):
             ids.append(np.array(found, np.int32))
             sizes.append(np.array([len(found)], np.int32))
         self._append(clean + other, np.concatenate(ids), np.concatenate(sizes))
 
-    def _append(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _append(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.known)
         self.known.update(zip(words, range(first, first + len(words))))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes, dtype=np.int32) - sizes])
@@ -130,42 +135,48 @@ class WordEncoder:
         self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
 
     def forget(self, times: int = 1 << 62) -> None:
-        """Forget words that were used fewer times; all, if that leaves too many."""
+        """Forget words that were used fewer times, and of many others those used least."""
         keep = self.used >= times
         if 2 * keep.sum() > REMEMBERED:
-            keep[:] = False
+            keep = self.used > np.partition(self.used, -(REMEMBERED // 2))[-(REMEMBERED // 2)]
         n = self.sizes[keep]
         index = np.repeat(self.starts[keep] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         words = [w for w, k in zip(self.known, keep.tolist()) if k]
         self.known, self.flat = Numbers(zip(words, range(len(words)))), self.flat[index]
         self.starts, self.sizes, self.used = np.cumsum(n, dtype=np.int32) - n, n, self.used[keep] // 2
 
-    def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
+    def encode(self, texts: Sequence[str | bytes], end: int) -> Iterator[np.ndarray]:
         """Ids of each text, ``end`` behind them."""
-        out: list[np.ndarray] = []
+        raw = [t.encode() if isinstance(t, str) else t for t in texts]
         at = 0
-        while at < len(texts):
+        while at < len(raw):
             to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) <= PART):
-                size += len(texts[to])
+            while to < len(raw) and (to == at or size + len(raw[to]) <= PART):
+                size += len(raw[to])
                 to += 1
-            cuts = [self.cut(t) for t in texts[at:to]]
-            if len(self.known) > REMEMBERED:
-                self.forget(times=3)
-            seen = list(chain.from_iterable(cuts))
-            words = np.fromiter(map(self.known.__getitem__, seen), np.int32, len(seen))
-            missing = np.flatnonzero(words < 0).tolist()
-            if missing:
-                self.learn(list({seen[i] for i in missing}))
-                words[missing] = [self.known[seen[i]] for i in missing]
-            self.used += np.bincount(words, minlength=len(self.used))
-            n = self.sizes[words]
-            index = np.repeat(self.starts[words] - (np.cumsum(n) - n), n) + np.arange(n.sum(), dtype=np.int32)
-            ids = self.flat[index]
-            ends = np.r_[0, np.cumsum(n)][np.cumsum([0, *map(len, cuts)])]
-            out += [np.append(ids[i:j], np.int32(end)) for i, j in zip(ends[:-1], ends[1:])]
+            yield from self._encode(raw[at:to], end)
             at = to
-        return out
+
+    def _encode(self, raw: list[bytes], end: int) -> Iterator[np.ndarray]:
+        data, borders = b"".join(raw), np.cumsum([0, *map(len, raw)])
+        cuts = self.cuts(data, borders)
+        offsets = pa.py_buffer(np.append(cuts, len(data)).astype(np.int64))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        codes, distinct = words.indices.to_numpy(), words.dictionary.to_pylist()
+        if len(self.known) > REMEMBERED:
+            self.forget(times=3)
+        numbers = np.fromiter(map(self.known.__getitem__, distinct), np.int32, len(distinct))
+        missing = np.flatnonzero(numbers < 0).tolist()
+        if missing:
+            self.learn([distinct[i] for i in missing])
+            numbers[missing] = [self.known[distinct[i]] for i in missing]
+        self.used[numbers] += np.bincount(codes, minlength=len(distinct))
+        n = self.sizes[numbers][codes]
+        ends = np.r_[0, np.cumsum(n)]
+        ids = self.flat[np.repeat(self.starts[numbers][codes] - ends[:-1], n) + np.arange(ends[-1])]
+        places = ends[np.searchsorted(cuts, borders)]
+        for i, j in zip(places[:-1], places[1:]):
+            yield np.append(ids[i:j], np.int32(end))
 
 
 @cache
@@ -213,10 +224,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int = 0, shard
         ids: list[np.ndarray] = []
         seq = before = held = 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = [b.decode("utf-8", "replace") for b in text_bytes(batch.column(1))]
-                for key, got in zip(batch.column(0).to_pylist(), own.encode(texts, end)):
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                for key, got in zip(batch.column(0).to_pylist(), own.encode(list(text_bytes(batch.column(1))), end)):
                     if held and held + len(got) > shard_ids:
                         yield pa.RecordBatch.from_pylist([_shard(part, seq, before, own.width, keys, ids)], _ARROW)
                         seq, before, held, keys, ids = seq + 1, before + held, 0, [], []
