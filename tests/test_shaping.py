@@ -42,6 +42,32 @@ def test_merge_collapses_equal_rows_and_multiplies_repeats(spark):
     assert collected(merge_all(a, b)) == sorted(expected, key=repr)
 
 
+@pytest.mark.parametrize("hot_rows", [1, 7, 10_000])
+def test_merge_of_hot_keys_equals_the_plain_join(spark, hot_rows):
+    left = [(1, i, "x") for i in range(40)] + [(2, i, "x") for i in range(9)] + [(3, 0, "x"), (3, 0, "x"), (None, 5, None), (None, 6, None)]
+    right = [(1, i % 25, "y") for i in range(30)] + [(4, i, "y") for i in range(11)] + [(3, 1, "y"), (None, 7, "n"), (5, 0, None)]
+    a, b = spark.createDataFrame(left, "k int, p int, u string"), spark.createDataFrame(right, "k int, q int, v string")
+    expected = [(k, p, u, q, v) for k, p, u in left for j, q, v in right if k == j]
+    expected += [(*r, None, None) for r in left if r[0] not in {x[0] for x in right}]
+    expected += [(k, None, None, q, v) for k, q, v in right if k not in {x[0] for x in left}]
+    assert collected(merge_all(a, b, hot_rows=hot_rows)) == sorted(expected, key=repr)
+
+
+def test_a_key_of_many_rows_is_joined_by_many_tasks(spark):
+    a = spark.range(100_000).select(F.lit(1).alias("k"), F.col("id").alias("p"))
+    b = spark.range(5).select(F.lit(1).alias("k"), F.col("id").alias("q"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pairs = merge_all(a, b, hot_rows=2_000)
+        tasks = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(tasks) == 500_000 and len(tasks) > 4 and max(tasks) < 200_000
+    assert pairs.distinct().count() == 500_000
+
+
 def test_large_repeat_counts_are_whole(spark, monkeypatch):
     import waveline.operators.combine as combine
 

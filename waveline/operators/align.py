@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveline.operators.collapse import with_group_value
+from waveline.operators.combine import merge_all
 from waveline.operators.ordered import nulls_last
 
 
@@ -46,8 +47,9 @@ def visits_at_least_distance(df: DataFrame, entity: str, day: str, target: int)
 def actual_or_predicted(actual: DataFrame, predicted: DataFrame, entity: str, value: str) -> DataFrame:
     """Actual values where known, predictions elsewhere.
 
-    An entity with several actual rows keeps them all.
+    An entity with several actual rows keeps them all, however many: see
+    ``merge_all``. Rows without an entity match each other.
     """
     a = actual.select(entity, F.col(value).alias("_actual"))
     p = predicted.select(entity, F.col(value).alias("_predicted"))
-    return a.join(p, entity, "full").select(entity, F.coalesce("_actual", "_predicted").alias(value))
+    return merge_all(a, p).select(entity, F.coalesce("_actual", "_predicted").alias(value))

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waveline.operators.ordered import nulls_last
+from waveline.sources.store import stored
 
 COPIES_PER_TASK = 100_000
+#: Different rows of one key that a task of a plain full join may hold.
+HOT_ROWS = 100_000
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:
@@ -22,26 +25,79 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def merge_all(left: DataFrame, right: DataFrame) -> DataFrame:
+def _same(left: str, right: str, columns: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns])
+
+
+def _hot_keys(a: DataFrame, b: DataFrame, common: Sequence[str], hot_rows: int) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows on a side, and their rows ``_l`` and ``_r`` on both."""
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    sides = a.select(*common, one.alias("_l"), none.alias("_r")).unionByName(b.select(*common, none.alias("_l"), one.alias("_r")))
+    return sides.groupBy(*common).agg(F.sum("_l").alias("_l"), F.sum("_r").alias("_r")).where(F.greatest("_l", "_r") > hot_rows)
+
+
+def _tagged(side: DataFrame, hot: DataFrame, common: Sequence[str]) -> DataFrame:
+    """Rows of a side with the counts of their key, null where it is not hot."""
+    joined = side.alias("s").join(hot.alias("h"), _same("s", "h", common), "left")
+    return joined.select(*[F.col(f"s.{c}") for c in side.columns], "h._l", "h._r")
+
+
+def _hot_pairs(a: DataFrame, b: DataFrame, common: Sequence[str], hot_rows: int) -> DataFrame:
+    """Inner join of hot keys, cut into cells of about ``hot_rows`` rows of each side.
+
+    A row stands in one piece of its own side and is copied to each piece of the
+    other, so every pair meets in just one cell.
+    """
+    pieces = {side: F.ceil(F.col(n) / hot_rows).cast("int") for side, n in (("_i", "_l"), ("_j", "_r"))}
+
+    def cells(side: DataFrame, own: str, other: str) -> DataFrame:
+        columns = [c for c in side.columns if c not in ("_l", "_r")]
+        place = F.pmod(F.xxhash64(*columns), pieces[own]).cast("int")
+        return side.select(*columns, place.alias(own), F.explode(F.sequence(F.lit(0), pieces[other] - 1)).alias(other))
+
+    both = (F.col("_l") > 0) & (F.col("_r") > 0)
+    left, right = cells(a.where(both), "_i", "_j"), cells(b.where(both), "_j", "_i")
+    return left.alias("a").join(right.alias("b"), _same("a", "b", [*common, "_i", "_j"]), "inner")
+
+
+def merge_all(left: DataFrame, right: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Full outer join on every common column, null matching null.
 
     ``m`` equal rows on one side and ``n`` on the other give ``m * n`` rows.
     Copies are counted before the join, so a large group of equal rows is
     shuffled as one row, and they are written out again by many tasks.
+
+    Spark does not split a full join, so keys with more than ``hot_rows``
+    different rows on a side go their own way: those on both sides are joined in
+    cells, and those on one side only need no join at all.
     """
     common = [c for c in left.columns if c in right.columns]
     extra_left = [c for c in left.columns if c not in common]
     extra_right = [c for c in right.columns if c not in common]
-    a = left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias("_m")).alias("a")
-    b = right.groupBy(*right.columns).agg(F.count(F.lit(1)).alias("_n")).alias("b")
-    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in common])
-    in_left = F.col("a._m").isNotNull()
-    joined = a.join(b, same, "full").select(
-        *[F.when(in_left, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in common],
-        *[F.col(f"a.{c}") for c in extra_left],
-        *[F.col(f"b.{c}") for c in extra_right],
-        (F.coalesce("a._m", F.lit(1)) * F.coalesce("b._n", F.lit(1))).alias("_copies"),
-    )
+    # Both are read several times: for the counts, the plain join and the cells.
+    a = stored(left.groupBy(*left.columns).agg(F.count(F.lit(1)).alias("_m")))
+    b = stored(right.groupBy(*right.columns).agg(F.count(F.lit(1)).alias("_n")))
+
+    def result(joined: DataFrame) -> DataFrame:
+        in_left = F.col("a._m").isNotNull()
+        return joined.select(
+            *[F.when(in_left, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")).alias(c) for c in common],
+            *[F.col(f"a.{c}") for c in extra_left],
+            *[F.col(f"b.{c}") for c in extra_right],
+            (F.coalesce("a._m", F.lit(1)) * F.coalesce("b._n", F.lit(1))).alias("_copies"),
+        )
+
+    hot = stored(_hot_keys(a, b, common, hot_rows))
+    if hot.isEmpty():
+        joined = result(a.alias("a").join(b.alias("b"), _same("a", "b", common), "full"))
+    else:
+        a, b = _tagged(a, hot, common), _tagged(b, hot, common)
+        plain = F.col("_l").isNull()
+        cool = a.where(plain).alias("a").join(b.where(plain).alias("b"), _same("a", "b", common), "full")
+        lone_left = a.where("_r = 0").withColumnRenamed("_m", "_copies").drop("_l", "_r")
+        lone_right = b.where("_l = 0").withColumnRenamed("_n", "_copies").drop("_l", "_r")
+        joined = result(cool).unionByName(result(_hot_pairs(a, b, common, hot_rows)))
+        joined = stack([joined, lone_left, lone_right])
     return repeat_rows(joined, "_copies")
 
 
