@@ -2,8 +2,9 @@
 
 A point needs only the sum of its distances to each cluster. Distinct points
 are cut into blocks; a task takes two blocks, works out their distances in
-memory and returns one row of sums per point. No pair is ever a row, and a
-task never holds more than two blocks, however many points there are.
+memory and returns one row of sums per point of both. No pair is ever a row,
+no pair of blocks is worked on twice, and a task never holds more than two
+blocks, however many points there are.
 """
 
 from __future__ import annotations
@@ -33,35 +34,39 @@ def distance_sums(points: DataFrame, columns: Sequence[str], labels: Mapping[str
     blocks = max(1, math.ceil(points.count() / POINTS_PER_BLOCK))
     width = sum(labels.values())
     names, label_names = list(columns), list(labels)
-    other_names = [f"other_{c}" for c in names]
 
-    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        x, z = left[names].to_numpy(dtype=float), right[other_names].to_numpy(dtype=float)
-        weight = np.zeros((len(z), width))
-        at = 0
+    def weights(side: pd.DataFrame) -> np.ndarray:
+        out, at = np.zeros((len(side), width)), 0
         for label in label_names:
-            place = at + right[label].to_numpy(dtype=int) - 1
-            weight[np.arange(len(z)), place] = right[WEIGHT].to_numpy(dtype=float)
+            place = at + side[label].to_numpy(dtype=int) - 1
+            out[np.arange(len(side)), place] = side[WEIGHT].to_numpy(dtype=float)
             at += labels[label]
+        return out
+
+    def sums(pair: tuple[int, int], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.rename(columns=lambda c: c.removeprefix("other_"))
+        x, z = left[names].to_numpy(dtype=float), right[names].to_numpy(dtype=float)
         square = np.zeros((len(x), len(z)))
         for j in range(len(names)):
             square += (x[:, j, None] - z[None, :, j]) ** 2
-        out = left[names].copy()
-        out["sums"] = list(np.sqrt(square) @ weight)
-        return out
+        distance = np.sqrt(square)
+        out = [left[names].assign(sums=list(distance @ weights(right)))]
+        if pair[0] != pair[1]:
+            out.append(right[names].assign(sums=list(distance.T @ weights(left))))
+        return pd.concat(out, ignore_index=True)
 
     # Both keys have one type, or the two sides would be hashed differently.
     own = F.pmod(F.xxhash64(*names), F.lit(blocks)).cast("int")
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    # A pair of blocks meets once, the smaller number on the left, and serves both.
+    later, earlier = F.sequence(own, F.lit(blocks - 1)), F.sequence(F.lit(0), own)
     rows = points.select(*names, *label_names, WEIGHT)
-    left = rows.select(*names, own.alias("_left"), others.alias("_right"))
+    left = rows.select(*names, *label_names, WEIGHT, own.alias("_left"), F.explode(later).alias("_right"))
     # The right side gets columns of its own. If both sides shared theirs, the
     # optimizer could prune one side by the needs of the other.
     right = rows.select(
-        *[F.col(c).alias(o) for c, o in zip(names, other_names)],
-        *[F.col(c).alias(c) for c in [*label_names, WEIGHT]],
+        *[F.col(c).alias(f"other_{c}") for c in [*names, *label_names, WEIGHT]],
         own.alias("_right"),
-        others.alias("_left"),
+        F.explode(earlier).alias("_left"),
     )
     schema = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in names) + ", sums array<double>"
     parts = (
