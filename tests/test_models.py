@@ -237,6 +237,28 @@ def test_whole_path_settles_and_is_the_same_in_tasks_and_in_passes(spark, alpha)
         assert math.isclose(a.cv_mse, b.cv_mse, rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("alpha", [1.0, 0.0])
+def test_passes_over_the_entities_serve_all_penalties_and_folds(spark, monkeypatch, alpha):
+    """Passes do not grow with the number of penalties, and some entities only give the starts."""
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.normal(size=(900, 4)), columns=list("uvwt"))
+    pdf["p"], pdf["fold"] = rng.integers(0, 150, 900), rng.integers(0, 4, 900).astype(np.int32)
+    pdf["t"] = pdf.groupby("p")["t"].transform("mean")
+    pdf["y"] = pdf.u - pdf.t + rng.normal(0, 1, 150)[pdf.p] + rng.normal(0, 1, 900)
+    m = lasso.entity_moments(spark.createDataFrame(pdf).repartition(3), Design.of(list("uvwt")), "y", "p", 0, "fold", 4)
+    penalties = lasso.default_penalties(m, 30)
+    tasks = lasso.path(m, penalties, alpha)
+    plain, passes = lasso.summed_matrices, []
+    monkeypatch.setattr(lasso, "summed_matrices", lambda *args: passes.append(1) or plain(*args))
+    monkeypatch.setattr(lasso, "NUMBERS_TO_START", 1_000)
+    found = lasso.path(m, penalties, alpha, numbers_in_task=0)
+    assert len(passes) <= 100
+    assert all(p.settled for p in found)
+    for a, b in zip(tasks, found, strict=True):
+        assert np.allclose(a.theta, b.theta, atol=1e-3)
+        assert math.isclose(a.cv_mse, b.cv_mse, rel_tol=1e-5)
+
+
 def test_lasso_fits_every_penalty_past_the_least_error(spark, monkeypatch):
     """More columns than the folds can tell apart: the error rises again and the path goes on."""
     rng = np.random.default_rng(8)

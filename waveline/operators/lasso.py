@@ -7,7 +7,7 @@ left is a problem in the shared columns alone. It needs the products of the
 shared columns (one small matrix per fold) and, per entity and fold, the sums
 of its rows. Both come from the data once. While the table of entity sums is
 small, each fold walks the whole path in a task of its own; a larger table
-stays where it is, and every step of all folds shares a pass over it.
+stays where it is, and all penalties and folds share each pass over it.
 
 With N rows, the objective is
 
@@ -18,25 +18,31 @@ where s is the standard deviation (1/N) of a column in the training rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waveline.operators.design import Design
 from waveline.operators.moments import collect_matrices, cross_products, summed_matrices
-from waveline.operators.path_steps import PathFit, answer, entity_effects_at, fit_path, scales
+from waveline.operators.path_rounds import curvature, fit_paths, slopes
+from waveline.operators.path_steps import PathFit, answer, entity_effects_at, fit_path, scales, start
 from waveline.sources.store import stored
 
 ALL_ROWS = -1
 #: A table of entity sums of at most so many numbers may go to one task per fold.
 NUMBERS_IN_TASK = 8_000_000
+#: The fits of a larger table start from those of entities with about so many numbers.
+NUMBERS_TO_START = 4_000_000
+#: Entities whose sums are unpacked together.
+ENTITIES_AT_ONCE = 1_000
 
 
 def rmse(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
@@ -54,12 +60,18 @@ class EntityMoments:
     folds: int
     products: dict[int, np.ndarray]
     sums: DataFrame
+    #: The moments of about one in so many entities, each with all its rows.
+    subset: Callable[[int], EntityMoments | None] | None = None
 
     def training(self, left_out: int) -> np.ndarray:
         total = sum(self.products.values())
         return total if left_out == ALL_ROWS else total - self.products.get(left_out, 0.0)
 
 
+def _products(rows: DataFrame, design: Design, response: str, fold: str) -> dict[int, np.ndarray]:
+    return {int(k): v for k, v in collect_matrices(cross_products(rows, design, response, fold)).items()}
+
+
 def entity_moments(
     rows: DataFrame, design: Design, response: str, entity: str, base: object, fold: str, folds: int
 ) -> EntityMoments:
@@ -68,7 +80,7 @@ def entity_moments(
     Batches are added up per entity and fold before the shuffle, so a hot
     entity costs a row per task. ``base`` is the entity without an indicator.
     """
-    products = {int(k): v for k, v in collect_matrices(cross_products(rows, design, response, fold)).items()}
+    products = _products(rows, design, response, fold)
     columns = list(dict.fromkeys([entity, fold, response, *design.columns]))
     key = rows.schema[entity].dataType
 
@@ -110,7 +122,16 @@ def entity_moments(
     # The steps are bound by arithmetic and not by bytes, so the table keeps
     # one file per shuffle partition.
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return EntityMoments(design, entity, base, folds, products, stored(table.repartition(partitions, "entity")))
+    sums = stored(table.repartition(partitions, "entity"))
+
+    def subset(buckets: int) -> EntityMoments | None:
+        def chosen(column: str) -> Column:
+            return F.pmod(F.xxhash64(column), F.lit(buckets)) == 0
+
+        some = _products(rows.where(chosen(entity)), design, response, fold)
+        return EntityMoments(design, entity, base, folds, some, sums.where(chosen("entity"))) if some else None
+
+    return EntityMoments(design, entity, base, folds, products, sums, subset)
 
 
 @dataclass(frozen=True)
@@ -147,7 +168,7 @@ def largest_penalty(m: EntityMoments) -> float:
     width, folds = len(products), m.folds
 
     def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (piece for batch in batches for piece in _pieces(batch)):
             _, total = _unpack(pdf, folds, width)
             share = total[:, 0] / n
             spread = n * np.sqrt(np.maximum(share * (1 - share), 1e-300))
@@ -178,11 +199,15 @@ class PathPoint:
     violation: float
 
 
-def _sides(m: EntityMoments, pdf: pd.DataFrame, left_out: int) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
-    """Sums of the training rows and of those left out, and which entity has no indicator."""
-    cube, total = _unpack(pdf, m.folds, len(m.design.names) + 1)
+def _unpacked(m: EntityMoments | _Numbers, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums per entity and fold, their totals, and which entity has no indicator."""
+    return *_unpack(pdf, m.folds, len(m.design.names) + 1), pdf["is_base"].to_numpy(dtype=bool)
+
+
+def _split(cube: np.ndarray, total: np.ndarray, left_out: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Sums of the training rows and of those left out."""
     held = None if left_out == ALL_ROWS else cube[:, left_out]
-    return total if held is None else total - held, held, pdf["is_base"].to_numpy(dtype=bool)
+    return total if held is None else total - held, held
 
 
 def _paths_in_tasks(m: EntityMoments, left_out: Sequence[int], penalties: Sequence[float], alpha: float) -> dict[int, list[PathFit]]:
@@ -191,7 +216,8 @@ def _paths_in_tasks(m: EntityMoments, left_out: Sequence[int], penalties: Sequen
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         fold = int(pdf["left_out"].iloc[0])
-        train, held, base = _sides(small, pdf, fold)
+        cube, total, base = _unpacked(small, pdf)
+        train, held = _split(cube, total, fold)
         rows = float(small.training(fold)[0, 0])
         steps = fit_path(small.training(fold), small.products.get(fold), penalties, alpha)
         try:
@@ -212,30 +238,67 @@ def _paths_in_tasks(m: EntityMoments, left_out: Sequence[int], penalties: Sequen
     return out
 
 
+def _pieces(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in pieces whose unpacked sums stay small."""
+    for first in range(0, len(pdf), ENTITIES_AT_ONCE):
+        yield pdf.iloc[first : first + ENTITIES_AT_ONCE]
+
+
+def _starts(m: EntityMoments, left_out: Sequence[int], penalties: Sequence[float], alpha: float, entities: int) -> dict[int, list[np.ndarray]]:
+    """Where the fits start: at those of some whole entities, which one task a fold can hold."""
+    empty = {f: [start(m.training(f))] * len(penalties) for f in left_out}
+    buckets = math.ceil(entities * m.folds * len(m.training(ALL_ROWS)) / NUMBERS_TO_START)
+    some = m.subset(buckets) if m.subset and buckets > 1 else None
+    if some is None or any(some.training(f)[0, 0] <= 0 for f in left_out):
+        return empty
+    found = _paths_in_tasks(some, left_out, penalties, alpha)
+    return {f: [fit.theta for fit in found[f]] if len(found[f]) == len(penalties) else empty[f] for f in left_out}
+
+
 def _paths_in_passes(m: EntityMoments, left_out: Sequence[int], penalties: Sequence[float], alpha: float) -> dict[int, list[PathFit]]:
-    """All folds walk side by side; a pass over the entities answers what all of them ask."""
+    """All fits go side by side; a pass over the entities answers what all of them ask.
+
+    The fits of some entities are no result, only the points to start from.
+    """
     small = _Numbers.of(m)
-    steps = {f: fit_path(m.training(f), m.products.get(f), penalties, alpha) for f in left_out}
-    asks = {f: next(g) for f, g in steps.items()}
-    out: dict[int, list[PathFit]] = {}
-    while asks:
-        now = dict(asks)
+    table = m.sums.select("folds", "sums", "is_base")
+    width = len(m.design.names)
 
+    def added(found: dict, key: str, matrix: np.ndarray) -> None:
+        found[key] = found[key] + matrix if key in found else matrix
+
+    def ask_slopes(asks: dict[int, tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
         def blocks(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-            found = {}
-            for fold, ask in now.items():
-                train, held, base = _sides(small, pdf, fold)
-                found[str(fold)] = answer(ask, train, held, base, float(small.training(fold)[0, 0]), alpha)[None]
+            found: dict[str, np.ndarray] = {}
+            for piece in _pieces(pdf):
+                cube, total, base = _unpacked(small, piece)
+                for fold, (sizes, thetas) in asks.items():
+                    train, held = _split(cube, total, fold)
+                    added(found, str(fold), slopes(sizes, thetas, train, held, base, float(small.training(fold)[0, 0]), alpha))
             return found
 
-        for row in summed_matrices(m.sums.select("folds", "sums", "is_base"), blocks).collect():
-            fold = int(row.group)
-            try:
-                asks[fold] = steps[fold].send(np.array(row.row))
-            except StopIteration as end:
-                out[fold] = end.value
-                del asks[fold]
-    return out
+        sums = collect_matrices(summed_matrices(table, blocks))
+        return {f: sums.get(str(f), np.zeros((len(sizes), 5 + width))) for f, (sizes, _) in asks.items()}
+
+    def ask_curvatures(asks: list[tuple[int, float, np.ndarray]]) -> list[np.ndarray]:
+        def blocks(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+            found: dict[str, np.ndarray] = {}
+            for piece in _pieces(pdf):
+                cube, total, base = _unpacked(small, piece)
+                sides: dict[int, np.ndarray] = {}
+                for i, (fold, penalty, theta) in enumerate(asks):
+                    if fold not in sides:
+                        sides = {fold: _split(cube, total, fold)[0]}
+                    added(found, str(i), curvature(penalty, theta, sides[fold], base, float(small.training(fold)[0, 0]), alpha))
+            return found
+
+        sums = collect_matrices(summed_matrices(table, blocks))
+        return [sums.get(str(i), np.zeros((width, width))) for i in range(len(asks))]
+
+    training = {f: m.training(f) for f in left_out}
+    held = {f: m.products.get(f) for f in left_out}
+    starts = _starts(m, left_out, penalties, alpha, m.sums.count())
+    return fit_paths(training, held, penalties, alpha, starts, ALL_ROWS, ask_slopes, ask_curvatures)
 
 
 def path(
@@ -279,7 +342,7 @@ def entity_effects(m: EntityMoments, point: PathPoint, alpha: float = 1.0) -> Da
     schema = T.StructType([T.StructField(m.entity, m.sums.schema["entity"].dataType), T.StructField("effect", T.DoubleType())])
 
     def effects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (piece for batch in batches for piece in _pieces(batch)):
             _, total = _unpack(pdf, folds, width)
             effect = entity_effects_at(total, theta, rows, penalty, alpha, pdf["is_base"].to_numpy(dtype=bool))[0]
             yield pd.DataFrame({m_entity: pdf["entity"], "effect": effect})

@@ -24,6 +24,8 @@ MOST_STEPS = 100
 SMALLEST_PIVOT = 1e-9
 #: Largest violation of an optimality condition, in standard deviations of the response.
 TOLERANCE = 1e-6
+#: A settled fit takes up to so many more steps to this share of it.
+LAST_STEPS, AIM = 2, 0.05
 #: Columns of the quadratic subproblem may enter down to this.
 KKT_TOLERANCE = 1e-7
 FIRST_DAMPING, LEAST_DAMPING, MOST_DAMPING = 1e-4, 1e-9, 1e3
@@ -194,6 +196,7 @@ def fit_path(
         damping = FIRST_DAMPING
         chosen = usable & (np.abs(slope) >= alpha * (2 * penalty - before))
         fit = None
+        last_steps = LAST_STEPS
         for _ in range(MOST_STEPS):
             columns = np.concatenate([[0], np.flatnonzero(usable & (chosen | (theta != 0)))])
             sums = yield Ask(penalty, theta, columns=columns)
@@ -204,8 +207,12 @@ def fit_path(
             violation = max(float(np.max(off[usable], initial=0.0)), abs(float(slope[0])))
             test = rss(theta, held) - 2 * errors[2] + errors[3] if held is not None else math.nan
             fit = PathFit(penalty, theta, float(rss(theta, products) - 2 * errors[0] + errors[1]), float(test), violation / unit, violation <= TOLERANCE * unit)
-            if fit.settled or damping > MOST_DAMPING:
+            if violation <= AIM * TOLERANCE * unit or damping > MOST_DAMPING:
                 break
+            if fit.settled:
+                last_steps -= 1
+                if last_steps < 0:
+                    break
             chosen |= off > 0
             h = (h0[np.ix_(columns, columns)] - taken) / n / np.outer(scale[columns], scale[columns])
             h[np.diag_indices(len(h))] += damping
