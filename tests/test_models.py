@@ -124,6 +124,28 @@ def test_penalised_logistic_meets_its_conditions(spark, alpha):
     assert found.log_loss[1] < found.log_loss[0] < math.log(2)
 
 
+@pytest.mark.parametrize("alpha", [1.0, 0.0])
+def test_passes_over_the_rows_serve_all_penalties_and_folds(spark, alpha):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 8))
+    pdf = pd.DataFrame(x, columns=list("abcdefgh"))
+    pdf["y"] = (rng.uniform(size=4000) < 1 / (1 + np.exp(-(1.5 * pdf.a - pdf.b + 0.3)))).astype(int)
+    pdf["fold"] = rng.integers(0, 5, 4000).astype("int32")
+    design = Design.of(list("abcdefgh"))
+    df = spark.createDataFrame(pdf).repartition(3)
+    found = logistic.penalised_path(df, design, "y", alpha, "fold")
+    assert all(found.settled) and found.passes <= 25
+    # The error on left-out folds, from fits without them.
+    at = [5, 70]
+    losses = np.zeros(len(at))
+    for fold in range(5):
+        own = logistic.penalised_path(df.where(f"fold <> {fold}"), design, "y", alpha, "fold", [found.penalties[i] for i in at])
+        test = pdf[pdf.fold == fold]
+        eta = design.matrix(test) @ np.array(own.betas).T
+        losses += np.sum(np.logaddexp(0, eta) - test.y.to_numpy()[:, None] * eta, axis=0)
+    assert np.allclose(losses / 4000, [found.log_loss[i] for i in at], atol=1e-5)
+
+
 def lasso_frame(seed=4, n=240, patients=18):
     rng = np.random.default_rng(seed)
     pdf = pd.DataFrame({"a": np.arange(n), "p": rng.integers(0, patients, n).astype("int64")})
