@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import math
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waveline.functions.tails import f_upper, t_quantile, t_two_sided
-from waveline.operators import lasso, logistic, ols
+from waveline.operators import lasso, logistic, moments, ols
 from waveline.operators.design import Design, crossed, design_rows, factor_levels, numeric_shift
 from waveline.operators.distribution import density, histogram
 from waveline.operators.kmeans import WEIGHT, best_runs, counted_points, fit_runs, inertia, nearest_centre
@@ -96,6 +98,30 @@ def test_logistic_gradient_vanishes(spark):
     assert np.allclose(scored.probability, p[np.argsort(pdf.b.to_numpy())])
 
 
+def test_design_leaves_no_products_behind():
+    pdf = pd.DataFrame(np.random.default_rng(2).normal(size=(500, 6)), columns=list("abcdef"))
+    design = Design.of(crossed(*"abcdef"))
+    size = design.matrix(pdf).nbytes
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for _ in range(20):
+            design.matrix(pdf)
+        left = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert left < size
+
+
+def test_batches_are_worked_on_in_pieces():
+    pdf = pd.DataFrame({"a": np.arange(2500)})
+    found = list(moments.pieces(iter([pdf, pdf[:0]]), 1_000))
+    assert [len(p) for p in found] == [1000, 1000, 500, 0]
+    assert pd.concat(found)["a"].tolist() == pdf["a"].tolist()
+
+
 def test_missing_predictor_gives_null_probability(spark):
     df = spark.createDataFrame([(1, 1.0, 0), (2, 2.0, 1), (3, 3.0, 0), (4, 4.0, 1), (5, None, 1)], "k long, b double, y int")
     fit = logistic.fit(df, Design.of(["b"]), "y")

@@ -91,18 +91,16 @@ class Design:
         n = len(pdf)
         basis = {c: self._basis(pdf, c) for c in self.columns}
         known: dict[Term, np.ndarray] = {}
-
-        def product(term: Term) -> np.ndarray:
-            if term not in known:
-                if len(term) == 1:
-                    known[term] = basis[term[0]]
-                else:
-                    left, right = product(term[:-1]), basis[term[-1]]
-                    known[term] = (right[:, :, None] * left[:, None, :]).reshape(n, -1)
-            return known[term]
+        # No inner function that names itself: such a cycle would keep the
+        # products of many batches until the collector runs.
+        for term in self.terms:
+            for size in range(1, len(term) + 1):
+                if term[:size] not in known:
+                    right, left = basis[term[size - 1]], known.get(term[: size - 1])
+                    known[term[:size]] = right if left is None else (right[:, :, None] * left[:, None, :]).reshape(n, -1)
 
         parts = [np.ones((n, 1))] if self.intercept else []
-        return np.hstack(parts + [product(t) for t in self.terms])
+        return np.hstack(parts + [known[t] for t in self.terms])
 
     def complete(self, pdf: pd.DataFrame, *others: str) -> pd.DataFrame:
         """Rows without a missing value and with known factor levels."""

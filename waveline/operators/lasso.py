@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waveline.operators.design import Design
-from waveline.operators.moments import collect_matrices, cross_products, summed_matrices
+from waveline.operators.moments import collect_matrices, cross_products, pieces, summed_matrices
 from waveline.operators.path_rounds import curvature, fit_paths, slopes
 from waveline.operators.path_steps import PathFit, answer, entity_effects_at, fit_path, scales, start
 from waveline.sources.store import stored
@@ -361,7 +361,7 @@ def predict(
     schema = T.StructType([rows.schema[c] for c in passed] + [T.StructField("_shared", T.DoubleType())])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches):
             known = design.complete(pdf)
             value = pd.Series(np.nan, index=pdf.index)
             value.loc[known.index] = design.matrix(known) @ theta

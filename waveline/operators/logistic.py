@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from waveline.operators.design import Design
-from waveline.operators.moments import collect_matrices, cross_products, summed_matrices
+from waveline.operators.moments import collect_matrices, cross_products, pieces, summed_matrices
 from waveline.operators.ols import independent_columns
 from waveline.operators.path_steps import descend
 
@@ -96,7 +96,7 @@ def predict(df: DataFrame, fit: LogisticFit, keep: Sequence[str], name: str = "p
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, T.DoubleType())])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in pieces(batches):
             known = design.complete(pdf)
             p = pd.Series(np.nan, index=pdf.index)
             p.loc[known.index] = _probability(design.matrix(known)[:, kept] @ beta)

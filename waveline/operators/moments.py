@@ -27,9 +27,19 @@ SUMS = T.StructType(
     ]
 )
 
+#: Rows of a batch that are made wide together, so that a task's memory hangs on the columns only.
+ROWS_AT_ONCE = 1_024
+
 Blocks = Callable[[pd.DataFrame], dict[str, np.ndarray]]
 
 
+def pieces(batches: Iterator[pd.DataFrame], rows: int = ROWS_AT_ONCE) -> Iterator[pd.DataFrame]:
+    """Batches in pieces of at most so many rows; an empty batch is a piece."""
+    for pdf in batches:
+        for first in range(0, max(len(pdf), 1), rows):
+            yield pdf.iloc[first : first + rows]
+
+
 def summed_matrices(df: DataFrame, blocks: Blocks) -> DataFrame:
     """Sum the matrices that ``blocks`` makes of each batch, per group.
 
@@ -38,7 +48,7 @@ def summed_matrices(df: DataFrame, blocks: Blocks) -> DataFrame:
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
-        for pdf in batches:
+        for pdf in pieces(batches):
             for group, matrix in blocks(pdf).items():
                 if group in totals:
                     totals[group] += matrix
