@@ -248,7 +248,7 @@ def _starts(m: EntityMoments, left_out: Sequence[int], penalties: Sequence[float
     """Where the fits start: at those of some whole entities, which one task a fold can hold."""
     empty = {f: [start(m.training(f))] * len(penalties) for f in left_out}
     buckets = math.ceil(entities * m.folds * len(m.training(ALL_ROWS)) / NUMBERS_TO_START)
-    some = m.subset(buckets) if m.subset and buckets > 1 else None
+    some = m if buckets == 1 else m.subset(buckets) if m.subset else None
     if some is None or any(some.training(f)[0, 0] <= 0 for f in left_out):
         return empty
     found = _paths_in_tasks(some, left_out, penalties, alpha)

@@ -15,15 +15,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from waveline.operators.path_steps import AIM, TOLERANCE, PathFit, descend, entity_effects_at, scales, start
+from waveline.operators.path_steps import TOLERANCE, PathFit, descend, entity_effects_at, scales, start
 
 #: Gradient passes with one curvature, and curvatures at most.
 PASSES, CURVATURES = 8, 25
-#: Curvatures up to which fits go on to a share of the tolerance, as the last steps gain most.
-AIMED_CURVATURES = 4
+#: Fits that move go on to this share of the tolerance, as the last steps gain most, but not for ever.
+AIM, AIMED_CURVATURES = 0.05, 4
 #: Own curvatures of a pass.
 CURVED_AT_ONCE = 128
 FIRST_DAMPING, LEAST_DAMPING, MOST_DAMPING = 1e-7, 1e-9, 1e3
+#: Share of a step that is tried after one that went too far.
+SHORTER = 0.3
 #: Rounding of an objective, in variances of the response.
 SLACK = 1e-11
 #: Sweeps of a step; the passes that follow mend what is left.
@@ -99,6 +101,17 @@ class _Fit:
     slope: np.ndarray | None = None
     damping: float = FIRST_DAMPING
     found: PathFit | None = None
+    #: What is left of a step that went too far, and the share of it.
+    step: np.ndarray | None = None
+    length: float = 1.0
+
+    def learn(self, taken: bool) -> None:
+        """A step that went too far is cut; a cut one that served asks for more damping."""
+        if not taken:
+            self.step, self.length = (self.tried - self.theta) * SHORTER, self.length * SHORTER
+            return
+        self.damping = max(self.damping / 10, LEAST_DAMPING) if self.length == 1 else min(self.damping * 2, MOST_DAMPING)
+        self.step, self.length = None, 1.0
 
 
 def _rss(x: np.ndarray, p: np.ndarray) -> float:
@@ -124,7 +137,11 @@ def _judge(fit: _Fit, side: _Side, sums: np.ndarray, alpha: float) -> bool:
 
 
 def _move(fits: list[_Fit], sides: dict[int, _Side], h: dict[tuple[int, int], np.ndarray], alpha: float) -> None:
-    """Each fit tries the least point of its quadratic model."""
+    """Each fit tries the least point of its quadratic model, or what is left of the step there."""
+    for f in fits:
+        if f.step is not None:
+            f.tried = f.theta + f.step
+    fits = [f for f in fits if f.step is None]
     for left_out in sorted({f.left_out for f in fits}):
         side = sides[left_out]
         own = [f for f in fits if f.left_out == left_out]
@@ -181,7 +198,7 @@ def fit_paths(
     for x in fits:
         x.tried = start(training[x.left_out])
     look([x for x in fits if not x.found.settled])
-    open_ = [x for x in fits if x.found.violation > AIM * TOLERANCE]
+    open_ = [x for x in fits if not x.found.settled]
     for turn in range(CURVATURES):
         if not open_:
             break
@@ -191,16 +208,16 @@ def fit_paths(
             h = {(x.left_out, x.at): raw[x.at] / np.outer(sides[x.left_out].scale, sides[x.left_out].scale) for x in open_}
         else:
             h = curved(open_)
+            if turn == 1:
+                for x in open_:
+                    x.step, x.length = None, 1.0
         for _ in range(PASSES):
             before = {(x.left_out, x.at): x.found.violation for x in open_}
             _move(open_, sides, h, alpha)
             taken = look(open_)
             for x in open_:
-                if taken[x.left_out, x.at]:
-                    x.damping = max(x.damping / 10, LEAST_DAMPING)
-                else:
-                    x.damping = min(max(x.damping, 1e-6) * 10, MOST_DAMPING)
-            slow = [x for x in open_ if x.found.violation > 0.5 * before[x.left_out, x.at]]
+                x.learn(taken[x.left_out, x.at])
+            slow = [x for x in open_ if x.step is None and x.found.violation > 0.5 * before[x.left_out, x.at]]
             goal = TOLERANCE * (AIM if turn < AIMED_CURVATURES else 1.0)
             open_ = [x for x in open_ if x.found.violation > goal]
             if not open_ or len(slow) > 0.7 * len(open_):
