@@ -33,6 +33,10 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 _TABLES: dict[tuple[str, str, str], StoredTable] = {}
 
 
+def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, str, str]:
+    return spark.sparkContext.applicationId, sf_dir, name
+
+
 def shared_table(
     spark: SparkSession,
     sf_dir: str,
@@ -41,7 +45,7 @@ def shared_table(
     partition_by: str | None = None,
 ) -> DataFrame:
     """A table that several queries read, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = _key(spark, sf_dir, name)
     if key not in _TABLES:
         _TABLES[key] = StoredTable.write(build(), partition_by)
     return _TABLES[key].read(spark)
@@ -53,7 +57,16 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One assessment per patient and day."""
-    return shared_table(
-        spark, sf_dir, "visits", lambda: one_visit_per_day(panel(spark, sf_dir)), "Study"
-    )
+    """One assessment per patient and day.
+
+    They are taken from the stored panel where another query has written it;
+    for visits alone its rows need not be written and read first. Days of one
+    patient go to many tasks, or the join by patient would settle who does them.
+    """
+
+    def build() -> DataFrame:
+        if _key(spark, sf_dir, "panel") in _TABLES:
+            return one_visit_per_day(panel(spark, sf_dir))
+        return one_visit_per_day(raw_panel(spark, sf_dir).repartition("PatientID", "VisitDay"))
+
+    return shared_table(spark, sf_dir, "visits", build, "Study")

@@ -3,12 +3,28 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from waveline.session import shared_folder
+from waveline.session import METHOD_LIMIT, shared_folder
+
+
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Run steps of many columns in methods that the JVM compiles, whatever limit the session has."""
+    before = spark.conf.get(METHOD_LIMIT[0], None)
+    spark.conf.set(*METHOD_LIMIT)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(METHOD_LIMIT[0])
+        else:
+            spark.conf.set(METHOD_LIMIT[0], before)
 
 
 @dataclass(frozen=True)
@@ -28,7 +44,8 @@ class StoredTable:
         writer = df.write.mode("errorifexists")
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        with compiled_methods(df.sparkSession):
+            writer.parquet(path)
         return cls(path, df.schema)
 
     def read(self, spark: SparkSession) -> DataFrame:
