@@ -122,6 +122,17 @@ def test_batches_are_worked_on_in_pieces():
     assert pd.concat(found)["a"].tolist() == pdf["a"].tolist()
 
 
+def test_narrow_designs_take_a_whole_batch_at_once(spark, monkeypatch):
+    taken, matrices = [], moments.summed_matrices
+    monkeypatch.setattr(moments, "summed_matrices", lambda df, blocks, at_once=moments.ROWS_AT_ONCE: (taken.append(at_once), matrices(df, blocks, at_once))[1])
+    df = spark.range(20_000).selectExpr("cast(id % 7 as double) as x", "cast(id % 5 as double) as y")
+    found = moments.collect_matrices(moments.cross_products(df, Design.of(["x"]), "y"))[""]
+    assert taken[0] > 10_000 and found[0].tolist() == [20_000, 20_000 // 7 * 21 + 0, 40_000]
+    wide = Design.of([f"x{i}" for i in range(300)])
+    moments.cross_products(spark.createDataFrame([tuple([0.0] * 301)], [*wide.columns, "y"]), wide, "y")
+    assert taken[1] == moments.ROWS_AT_ONCE
+
+
 def test_missing_predictor_gives_null_probability(spark):
     df = spark.createDataFrame([(1, 1.0, 0), (2, 2.0, 1), (3, 3.0, 0), (4, 4.0, 1), (5, None, 1)], "k long, b double, y int")
     fit = logistic.fit(df, Design.of(["b"]), "y")

@@ -29,6 +29,8 @@ SUMS = T.StructType(
 
 #: Rows of a batch that are made wide together, so that a task's memory hangs on the columns only.
 ROWS_AT_ONCE = 1_024
+#: Narrow designs take more rows together, up to so many numbers.
+CELLS_AT_ONCE = 256 * ROWS_AT_ONCE
 
 Blocks = Callable[[pd.DataFrame], dict[str, np.ndarray]]
 
@@ -40,7 +42,7 @@ def pieces(batches: Iterator[pd.DataFrame], rows: int = ROWS_AT_ONCE) -> Iterato
             yield pdf.iloc[first : first + rows]
 
 
-def summed_matrices(df: DataFrame, blocks: Blocks) -> DataFrame:
+def summed_matrices(df: DataFrame, blocks: Blocks, at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """Sum the matrices that ``blocks`` makes of each batch, per group.
 
     The result has one row per group and matrix row.
@@ -48,7 +50,7 @@ def summed_matrices(df: DataFrame, blocks: Blocks) -> DataFrame:
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
-        for pdf in pieces(batches):
+        for pdf in pieces(batches, at_once):
             for group, matrix in blocks(pdf).items():
                 if group in totals:
                     totals[group] += matrix
@@ -88,7 +90,7 @@ def cross_products(df: DataFrame, design: Design, response: str, by: str | None
         keys = pdf[by].astype(str).to_numpy()
         return {k: z[keys == k].T @ z[keys == k] for k in pd.unique(keys)}
 
-    return summed_matrices(df.select(columns), blocks)
+    return summed_matrices(df.select(columns), blocks, max(ROWS_AT_ONCE, CELLS_AT_ONCE // (len(design.names) + 1)))
 
 
 def product_table(sums: DataFrame, names: list[str]) -> DataFrame:
