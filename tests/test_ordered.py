@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waveline.operators.ordered import OrderedBlocks, lag_lead, nulls_last
+from waveline.operators import ordered
+from waveline.operators.ordered import BLOCK, OrderedBlocks, lag_lead, nulls_last
 
 ORDER = ["p", "d", "a"]
 
@@ -93,3 +94,17 @@ def test_hot_patient_is_spread_over_blocks(visits):
 def test_unknown_scope_is_refused(visits):
     with pytest.raises(ValueError):
         lag_lead(OrderedBlocks.of(visits, ORDER, 2), ["x"], "p", "study")
+
+
+def test_a_task_holds_one_block_however_many_there_are(visits):
+    assert ordered._block_count(visits, 54_000_000) >= 540
+    known = visits.where("p is not null")
+    made = OrderedBlocks.of(known, ORDER, 40).ordinal("n", "p").neighbours(["p", "x"])
+    tasks = made.df.groupBy(F.spark_partition_id().alias("task")).agg(F.countDistinct(BLOCK).alias("blocks")).collect()
+    assert len(tasks) == made.blocks and {t.blocks for t in tasks} == {1}
+
+
+def test_a_column_written_anew_is_what_later_scans_see(visits):
+    known = visits.where("p is not null").withColumn("n", F.lit(-1).cast("long"))
+    out = OrderedBlocks.of(known, ORDER, 5).ordinal("n", start=1).neighbours(["n"]).frame()
+    assert out.where("_before.n <> n - 1 or _after.n <> n + 1").count() == 0

@@ -22,7 +22,10 @@ from pyspark.sql import types as T
 from waveline.sources.store import stored
 
 BLOCK = "_block"
-ROWS_PER_BLOCK = 2_000_000
+#: A task sorts the rows of one block, several hundred columns wide at times.
+ROWS_PER_BLOCK = 100_000
+#: Fewer rows are not worth a task of their own.
+LEAST_ROWS_PER_BLOCK = 10_000
 BLOCKS_PER_CORE = 3
 SAMPLE_PER_BLOCK = 30
 
@@ -48,8 +51,9 @@ def _key_type(df: DataFrame, columns: Sequence[str]) -> T.StructType:
 
 def _block_count(df: DataFrame, rows: int) -> int:
     by_size = math.ceil(rows / ROWS_PER_BLOCK)
-    # Several blocks a core, as blocks are hashed to tasks.
-    return max(1, by_size, BLOCKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    # Several blocks a core, as their sizes are about equal only.
+    by_cores = BLOCKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return max(1, by_size, min(by_cores, rows // LEAST_ROWS_PER_BLOCK))
 
 
 def _borders(df: DataFrame, columns: Sequence[str], rows: int, n: int) -> list[str]:
@@ -87,11 +91,17 @@ class OrderedBlocks:
 
     The input is read several times, so pass a stored table. The sort order
     must be total (end it with a unique key) for the results to be repeatable.
+
+    Each block is a task of its own, so a task does not grow with the table.
+    ``rows`` are the rows before they were shuffled to blocks, from which border
+    rows and counts are combined; ``placed`` tells that ``df`` is shuffled.
     """
 
     df: DataFrame
     order: tuple[str, ...]
     blocks: int
+    rows: DataFrame
+    placed: bool = False
 
     @classmethod
     def of(cls, df: DataFrame, order: Sequence[str], blocks: int | None = None) -> OrderedBlocks:
@@ -99,22 +109,32 @@ class OrderedBlocks:
         n = blocks or _block_count(df, rows)
         borders = _borders(df, order, rows, n)
         block = _block_of(sort_key(order), borders, _key_type(df, order))
-        return cls(df.withColumn(BLOCK, block), tuple(order), len(borders) + 1)
+        rows = df.withColumn(BLOCK, block)
+        return cls(rows, tuple(order), len(borders) + 1, rows)
 
     def frame(self) -> DataFrame:
         return self.df.drop(BLOCK)
 
     def then(self, df: DataFrame) -> OrderedBlocks:
         """The same blocks after a row-wise step that keeps the block column."""
-        return replace(self, df=df)
+        return replace(self, df=df, rows=df)
+
+    def with_columns(self, columns: Mapping[str, Column]) -> OrderedBlocks:
+        """Add columns that are made of the input's columns."""
+        return replace(self, df=self.df.withColumns(columns), rows=self.rows.withColumns(columns))
+
+    def _placed(self) -> DataFrame:
+        """The rows, each block in a task of its own."""
+        return self.df if self.placed else self.df.repartitionById(self.blocks, F.col(BLOCK))
+
+    def _scanned(self, df: DataFrame, *made: str) -> OrderedBlocks:
+        """The blocks after a scan; a column it writes anew is no longer that of the input."""
+        rows = df if set(made) & set(self.rows.columns) else self.rows
+        return replace(self, df=df, rows=rows, placed=True)
 
     def _in_block(self, *extra: str):
         return Window.partitionBy(BLOCK, *extra).orderBy(*nulls_last(self.order))
 
-    def _with_carry(self, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-        # At most one row per block, see the class comment.
-        return self.df.join(F.broadcast(carry), list(keys), "left")
-
     def neighbours(self, columns: Sequence[str], before: str = "_before", after: str = "_after") -> OrderedBlocks:
         """Add the previous and the next row of the table as two structs.
 
@@ -123,11 +143,12 @@ class OrderedBlocks:
         """
         row = F.struct(*columns)
         w = self._in_block()
-        out = self.df.withColumns({before: F.lag(row).over(w), after: F.lead(row).over(w)})
+        out = self._placed().withColumns({before: F.lag(row).over(w), after: F.lead(row).over(w)})
         if self.blocks == 1:
-            return self.then(out)
+            return self._scanned(out, before, after)
         key = sort_key(self.order)
-        edges = self.df.groupBy(BLOCK).agg(
+        known = self.rows if set(columns) <= set(self.rows.columns) else self.df
+        edges = known.groupBy(BLOCK).agg(
             F.max_by(row, key).alias("_last"), F.min_by(row, key).alias("_first")
         )
         across_blocks = Window.orderBy(BLOCK)
@@ -136,11 +157,11 @@ class OrderedBlocks:
             F.lag("_last").over(across_blocks).alias("_carry_before"),
             F.lead("_first").over(across_blocks).alias("_carry_after"),
         )
-        out = self.then(out)._with_carry(carry, [BLOCK])
-        out = out.withColumns(
+        # One row per block.
+        out = out.join(F.broadcast(carry), BLOCK, "left").withColumns(
             {before: F.coalesce(before, "_carry_before"), after: F.coalesce(after, "_carry_after")}
         )
-        return self.then(out.drop("_carry_before", "_carry_after"))
+        return self._scanned(out.drop("_carry_before", "_carry_after"), before, after)
 
     def fill(self, directions: Mapping[str, str], entity: str | None = None) -> OrderedBlocks:
         """Replace nulls by the nearest known value.
@@ -163,11 +184,11 @@ class OrderedBlocks:
         }
         filled = {c: F.last(c, ignorenulls=True).over(running[d]) for c, d in directions.items()}
         if self.blocks == 1:
-            return self.then(self.df.withColumns(filled))
+            return self.then(self._placed().withColumns(filled))
         in_block = self._in_block()
         filled["_top"] = F.lag(F.lit(True), 1, False).over(in_block) == F.lit(False)
         filled["_bottom"] = F.lead(F.lit(True), 1, False).over(in_block) == F.lit(False)
-        rows = stored(self.df.withColumns(filled))
+        rows = stored(self._placed().withColumns(filled))
 
         out = rows
         for direction, border in (("down", "_bottom"), ("up", "_top")):
@@ -177,7 +198,7 @@ class OrderedBlocks:
                 out = out.join(F.broadcast(carry), keys, "left")
                 out = out.withColumns({c: F.coalesce(c, f"_carry_{c}") for c in columns})
                 out = out.drop(*[f"_carry_{c}" for c in columns])
-        return self.then(out.drop("_top", "_bottom"))
+        return replace(self.then(out.drop("_top", "_bottom")), placed=False)
 
     @staticmethod
     def _carried(edges: DataFrame, columns: Sequence[str], direction: str, entity: str | None) -> DataFrame:
@@ -197,18 +218,18 @@ class OrderedBlocks:
         """Number the rows of the table, or of each entity, in sort order."""
         keys = [BLOCK] + ([entity] if entity else [])
         number = F.row_number().over(self._in_block(*keys[1:])).cast("long") - 1 + start
-        out = self.then(self.df.withColumn(name, number))
+        out = self._placed().withColumn(name, number)
         if self.blocks == 1:
-            return out
-        counts = self.df.groupBy(*keys).count()
+            return self._scanned(out, name)
+        counts = self.rows.groupBy(*keys).count()
         blocks = Window.partitionBy(entity) if entity else Window
         earlier = blocks.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
         # Without an entity: one row per block. With one: only entities that
         # began in an earlier block, at most one per block.
         carry = counts.select(*keys, F.sum("count").over(earlier).alias("_offset")).where("_offset > 0")
-        joined = out._with_carry(carry, keys)
+        joined = out.join(F.broadcast(carry), keys, "left")
         joined = joined.withColumn(name, F.col(name) + F.coalesce("_offset", F.lit(0)))
-        return self.then(joined.drop("_offset"))
+        return self._scanned(joined.drop("_offset"), name)
 
 
 def lag_lead(

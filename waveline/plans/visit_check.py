@@ -48,7 +48,7 @@ def with_neighbour_scores(blocks: OrderedBlocks, scope: str = "table") -> Ordere
     Lags, leads and changes without a neighbour are 0. The change is taken
     before that, so a first visit has change 0 and not its own value.
     """
-    blocks = blocks.then(blocks.df.withColumn("CompositeScore", composite(N_ITEMS, P_ITEMS)))
+    blocks = blocks.with_columns({"CompositeScore": composite(N_ITEMS, P_ITEMS)})
     near = blocks.neighbours(["PatientID", *ITEMS, "CompositeScore"])
 
     def neighbour(side: str, c: str) -> Column:
@@ -68,13 +68,15 @@ def with_neighbour_scores(blocks: OrderedBlocks, scope: str = "table") -> Ordere
     return near.then(df.withColumns({f"FlagChange{c}": change_flag(f"Change{c}") for c in ITEMS}))
 
 
-def with_flags(df: DataFrame, spread: str = "table") -> DataFrame:
+def with_flags(df: DataFrame, spread: str = "table", whole: DataFrame | None = None) -> DataFrame:
     """Flags of one assessment.
 
     ``spread="table"`` compares the item range of the whole table with the
-    limit, ``"row"`` that of each assessment.
+    limit, ``"row"`` that of each assessment. ``whole`` has the items of the
+    same assessments where ``df`` is dear to work out for the range alone.
     """
-    span = (lambda items: table_spread(df, items)) if spread == "table" else row_spread
+    whole = df if whole is None else whole
+    span = (lambda items: table_spread(whole, items)) if spread == "table" else row_spread
     out = {
         "FlagInconsistentP": span(P_ITEMS) > SPREAD_LIMIT,
         "FlagInconsistentN": span(N_ITEMS) > SPREAD_LIMIT,
@@ -92,7 +94,7 @@ def check_features(panel: DataFrame, scope: str = "table", spread: str = "table"
     Same-day repeats are kept. ``panel`` should be a stored table.
     """
     blocks = OrderedBlocks.of(panel, VISIT_ORDER).ordinal("TreatmentWeek", "PatientID")
-    df = with_flags(with_neighbour_scores(blocks, scope).frame(), spread)
+    df = with_flags(with_neighbour_scores(blocks, scope).frame(), spread, panel)
     label = two_way("LeadStatus", "Passed", "P", "NP")
     return df.withColumn("LeadStatus", label).drop("SiteID", "RaterID")
 
