@@ -17,6 +17,7 @@ from waveline.functions.scores import (
     threshold_class,
     two_way,
 )
+from waveline.operators import combine
 from waveline.operators.align import actual_or_predicted, natural_left_join, nearest_visit, visits_at_least_distance
 from waveline.operators.collapse import collapse_periods, lowest_row, period_mean, with_period_ordinal
 from waveline.operators.combine import first_per_key, merge_all, repeat_rows, stack
@@ -24,7 +25,8 @@ from waveline.operators.shares import complete_grid, group_counts, step_differen
 from waveline.operators.split import split_rows
 from waveline.plans.prepare import combine_studies
 from waveline.sources.panel_csv import read_panel, with_week, write_panel
-from waveline.sources.store import scratch_path
+from waveline.session import METHOD_LIMIT
+from waveline.sources.store import StoredTable, compiled_methods, scratch_path
 
 
 def collected(df):
@@ -42,6 +44,31 @@ def test_merge_collapses_equal_rows_and_multiplies_repeats(spark):
     assert collected(merge_all(a, b)) == sorted(expected, key=repr)
 
 
+def test_a_merge_of_many_copies_is_written_out_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(combine, "COPIES_PER_TASK", 100)
+    monkeypatch.setattr(combine, "ROWS_PER_TASK", 2_000)
+    a = spark.range(300).select(F.lit(1).alias("k"), (F.col("id") % 2).alias("p"))
+    b = spark.range(100).select(F.lit(1).alias("k"), F.lit(None).cast("int").alias("q"))
+    merged = merge_all(a, b)
+    tasks = [r["count"] for r in merged.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 30_000 and len(tasks) == 15 and max(tasks) < 6_000
+    assert collected(merged.groupBy("k", "p", "q").count()) == [(1, 0, None, 15_000), (1, 1, None, 15_000)]
+
+
+def test_wide_steps_are_stored_in_methods_that_the_jvm_compiles(spark, monkeypatch):
+    name, limit = METHOD_LIMIT
+    spark.conf.set(name, "65535")
+    seen, write = [], type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda *a: (seen.append(spark.conf.get(name)), write(*a))[1])
+    try:
+        StoredTable.write(spark.range(3))
+        with pytest.raises(ValueError), compiled_methods(spark):
+            raise ValueError
+        assert seen == [limit] and spark.conf.get(name) == "65535"
+    finally:
+        spark.conf.set(name, limit)
+
+
 @pytest.mark.parametrize("hot_rows", [1, 7, 10_000])
 def test_merge_of_hot_keys_equals_the_plain_join(spark, hot_rows):
     left = [(1, i, "x") for i in range(40)] + [(2, i, "x") for i in range(9)] + [(3, 0, "x"), (3, 0, "x"), (None, 5, None), (None, 6, None)]
