@@ -173,6 +173,26 @@ def test_leaks(spark, block_words):
     assert decontaminate.leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_a_large_benchmark_broadcast_a_filter_of_bounded_size(spark, monkeypatch):
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(500)}" for _ in range(15))) for i in range(300)]
+    bench = spark.createDataFrame([*items, *[(1000 + i, items[7][1].upper()) for i in range(20)]], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x, {items[7][1]}; y"), (2, items[9][1] + " " + items[200][1]), (2, "none of it"), (None, items[9][1])], "doc_id long, text string")
+    monkeypatch.setattr(decontaminate, "FILTER_ROWS", 50)
+    found = decontaminate.leaks(docs, bench, 100)
+    assert {tuple(r) for r in found.collect()} == {*[(1, i, 15, 15) for i in (7, *range(1000, 1020))], (2, 9, 15, 15), (2, 200, 15, 15), (None, 9, 15, 15)}
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") <= 3
+
+
+def test_a_filter_loses_no_key_and_few_others_pass(spark):
+    rows = spark.range(20_000).withColumn("k", F.xxhash64("id"))
+    keys = rows.filter("id % 10 = 0").select("k")
+    kept = {r.id for r in decontaminate._may_have(rows, "k", keys, 2_000).collect()}
+    assert set(range(0, 20_000, 10)) <= kept and len(kept) < 2_100
+    assert {r.id for r in decontaminate._may_have(rows, "k", keys, 8).collect()} >= set(range(0, 20_000, 10))
+    assert decontaminate._may_have(rows, "k", keys.limit(0), 0).count() == 0
+
+
 def test_role_with_line_breaks_and_control_strings_comes_back(spark):
     roles = ["two\nlines", "\n", "a\r\nb", "<br>", "<\\br>\n<br>", "</s>\n<s>", "plain", None]
     events = spark.createDataFrame([(1, i, "message", i, r, f"t<br>{i}\n") for i, r in enumerate(roles)], "conv_id long, seq int, event string, message_id long, role string, text string")
